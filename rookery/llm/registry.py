@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rookery.llm import mixing, packing, sharding, suffix_dedup, token_files
+from rookery.llm import mixing, near_dedup, packing, sharding, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffix_dedup.query,
+        "op2_minhash_near_dedup": near_dedup.query,
         "op3_best_fit_packing": packing.query,
         "op5_token_files": token_files.query,
         "op6_source_mixing": mixing.query,
