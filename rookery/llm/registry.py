@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rookery.llm import mixing, near_dedup, packing, sharding, suffix_dedup, token_files
+from rookery.llm import mixing, near_dedup, packing, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": packing.query,
         "op5_token_files": token_files.query,
         "op6_source_mixing": mixing.query,
+        "op7_toxicity": toxicity.query,
         "op8_sharding": sharding.query,
     }
 
