@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rookery.llm import mixing, near_dedup, packing, sharding, suffix_dedup, token_files, toxicity
+from rookery.llm import mixing, near_dedup, neighbours, packing, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_source_mixing": mixing.query,
         "op7_toxicity": toxicity.query,
         "op8_sharding": sharding.query,
+        "op9_nearest_neighbours": neighbours.query,
     }
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -18,7 +19,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Latin words before a blank, common punctuation or the end: both vocabularies
 #: cut behind such a word, whatever follows, so its punctuation is a chunk apart.
-LATIN = f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[{SPACE}.,!?;:|)]|\\Z)"
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+LATIN = f"{LETTERS}(?=[{SPACE}.,!?;:|)]|\\Z)"
+LATIN_ONLY = f" ?{LETTERS}"
 
 #: Chunks for a byte-level vocabulary: a blank belongs to the word behind it.
 BYTE_LEVEL = f" ?{LATIN}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -29,17 +32,33 @@ WORD_LEVEL = f"{LATIN}|[^{SPACE}]+"
 CACHE_ENTRIES = 400_000
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write for bytes, by code point:
+    printable Latin-1 stands for itself, the other bytes follow from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_LATIN_WORD = re.compile(LATIN_ONLY).fullmatch
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+_FORMATS = [struct.Struct(f"<{n}I") for n in range(32)]
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The chunks of a batch that are not in the cache are encoded in one call, as
-    one string in which a separator of known id stands between them.
+    Of the chunks of a batch that are not in the cache, Latin words, which nothing
+    cuts or changes before the merges, go to the tokenizer's model; the others are
+    encoded as one string in which a separator of known id stands between them.
     """
 
     def __init__(self, path: str, pattern: str, separator: str, lower: bool, entries: int = CACHE_ENTRIES):
@@ -58,13 +77,25 @@ class ChunkEncoder:
     def _ids(self, text: str) -> list[int]:
         return self._tok.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
     def _learn(self, new: list[str]) -> None:
         apart = [c for c in new if c.isspace() or self._separator in c]
         for c in apart:
-            self._cache[c] = np.array(self._ids(c), "<u4").tobytes()
-        if apart:
-            odd = set(apart)
-            new = [c for c in new if c not in odd]
+            self._cache[c] = self._packed(self._ids(c))
+        odd = set(apart)
+        words = [c for c in new if _LATIN_WORD(c)]
+        if words:
+            split = chr(_LETTERS[10])
+            spelt = "\n".join(words).encode().decode("latin-1").translate(_LETTERS).split(split)
+            merge = self._tok.model.tokenize
+            for c, w in zip(words, spelt):
+                ids = [t.id for t in merge(w)]
+                self._cache[c] = _FORMATS[len(ids)].pack(*ids) if len(ids) < len(_FORMATS) else self._packed(ids)
+            odd.update(words)
+        new = [c for c in new if c not in odd]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self._ids(self._separator.join(part)), "<u4")
@@ -90,7 +121,7 @@ class ChunkEncoder:
         if new:
             self._learn(list(new))
         return [
-            np.array(self._ids(t), "<u4").tobytes() if i in whole else b"".join([cache[c] for c in cs])
+            self._packed(self._ids(t)) if i in whole else b"".join([cache[c] for c in cs])
             for i, (t, cs) in enumerate(zip(texts, chunks))
         ]
 
