@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rookery.llm import mixing, near_dedup, neighbours, packing, sharding, suffix_dedup, token_files, toxicity
+from rookery.llm import media, mixing, near_dedup, neighbours, packing, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": suffix_dedup.query,
         "op2_minhash_near_dedup": near_dedup.query,
         "op3_best_fit_packing": packing.query,
+        "op4_media_jpeg": media.query,
         "op5_token_files": token_files.query,
         "op6_source_mixing": mixing.query,
         "op7_toxicity": toxicity.query,
