@@ -50,18 +50,33 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_FORMATS = [struct.Struct(f"<{n}I") for n in range(32)]
+_FORMATS = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+class _Cache(dict):
+    """Packed ids of chunks. Latin words, which nothing cuts or changes before the
+    merges, go to the tokenizer's model at once; other chunks take the whole way."""
+
+    def __init__(self, tok):
+        self._tok, self._merge = tok, tok.model.tokenize
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _LATIN_WORD(chunk):
+            ids = [t.id for t in self._merge(chunk.encode().decode("latin-1").translate(_LETTERS))]
+        else:
+            ids = self._tok.encode(chunk, add_special_tokens=False).ids
+        packed = self[chunk] = pack_ids(ids)
+        return packed
+
 
-    Of the chunks of a batch that are not in the cache, Latin words, which nothing
-    cuts or changes before the merges, go to the tokenizer's model; the others are
-    encoded as one string in which a separator of known id stands between them.
-    """
+def pack_ids(ids: list[int]) -> bytes:
+    return _FORMATS[len(ids)].pack(*ids) if len(ids) < len(_FORMATS) else np.array(ids, "<u4").tobytes()
 
-    def __init__(self, path: str, pattern: str, separator: str, lower: bool, entries: int = CACHE_ENTRIES):
+
+class ChunkEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str, pattern: str, lower: bool, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,61 +84,20 @@ class ChunkEncoder:
         self._special = tuple(t.content for t in self._tok.get_added_tokens_decoder().values())
         self._chunks = re.compile(pattern).findall
         self._entries = entries
-        self._separator = separator
         self._lower = lower
-        (self._separator_id,) = self._ids(separator)
-        self._cache: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self._tok.encode(text, add_special_tokens=False).ids
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        apart = [c for c in new if c.isspace() or self._separator in c]
-        for c in apart:
-            self._cache[c] = self._packed(self._ids(c))
-        odd = set(apart)
-        words = [c for c in new if _LATIN_WORD(c)]
-        if words:
-            split = chr(_LETTERS[10])
-            spelt = "\n".join(words).encode().decode("latin-1").translate(_LETTERS).split(split)
-            merge = self._tok.model.tokenize
-            for c, w in zip(words, spelt):
-                ids = [t.id for t in merge(w)]
-                self._cache[c] = _FORMATS[len(ids)].pack(*ids) if len(ids) < len(_FORMATS) else self._packed(ids)
-            odd.update(words)
-        new = [c for c in new if c not in odd]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = np.array(self._ids(self._separator.join(part)), "<u4")
-            ends = [*np.flatnonzero(ids == self._separator_id).tolist(), len(ids)]
-            if len(ends) != len(part):
-                raise ValueError("the separator's id also stands inside a chunk")
-            packed, start = ids.tobytes(), 0
-            for c, end in zip(part, ends):
-                self._cache[c] = packed[4 * start : 4 * end]
-                start = end + 1
+        self._cache = _Cache(self._tok)
+
+    def encode(self, text: str) -> bytes:
+        for s in self._special:
+            if s in text:
+                return pack_ids(self._tok.encode(text, add_special_tokens=False).ids)
+        if len(self._cache) > self._entries:
+            self._cache.clear()
+        chunks = self._chunks(text.lower() if self._lower else text)
+        return b"".join(map(self._cache.__getitem__, chunks))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self._special)}
-        if self._lower:
-            chunks = [[] if i in whole else self._chunks(t.lower()) for i, t in enumerate(texts)]
-        else:
-            chunks = [[] if i in whole else self._chunks(t) for i, t in enumerate(texts)]
-        used = set().union(*chunks)
-        if len(self._cache) + len(used) > self._entries:
-            self._cache = {c: v for c, v in self._cache.items() if c in used}
-        cache = self._cache
-        new = used.difference(cache)
-        if new:
-            self._learn(list(new))
-        return [
-            self._packed(self._ids(t)) if i in whole else b"".join([cache[c] for c in cs])
-            for i, (t, cs) in enumerate(zip(texts, chunks))
-        ]
+        return [self.encode(t) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
@@ -133,6 +107,5 @@ def encoder(path: str, pattern: str) -> ChunkEncoder:
     """One encoder per worker process and vocabulary."""
     key = (path, pattern)
     if key not in _ENCODERS:
-        blank = pattern == BYTE_LEVEL
-        _ENCODERS[key] = ChunkEncoder(path, pattern, "\n" if blank else "<|endoftext|>", lower=not blank)
+        _ENCODERS[key] = ChunkEncoder(path, pattern, lower=pattern == WORD_LEVEL)
     return _ENCODERS[key]
