@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rookery.llm import media, mixing, near_dedup, neighbours, packing, sharding, suffix_dedup, token_files, toxicity
+from rookery.llm import lm_scoring, media, mixing, near_dedup, neighbours, packing, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity.query,
         "op8_sharding": sharding.query,
         "op9_nearest_neighbours": neighbours.query,
+        "op10_lm_scoring": lm_scoring.query,
     }
 
 
