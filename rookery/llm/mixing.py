@@ -98,6 +98,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     )
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as often as the mix takes it whole, and where
+    the budget ends within one, that document's first words, joined by blanks. All
+    columns stay; ``n_chars``, if there, follows the text."""
+    plan = mix(docs, **options).filter("taken > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    words = F.lit(r"[^\x20\x09-\x0D]+")
+    rows = docs.withColumn("_own", F.regexp_count(text_of(), words).cast("long"))
+    rows = rows.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
+    left = F.col("_taken") % F.col("_size")
+    whole = F.array_repeat(F.lit(False), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
+    parts = F.concat(whole, F.when(left > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn("_cut", F.explode(parts))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", words, F.lit(0)), F.lit(1), left.cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_cut"), first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -582,6 +582,37 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
+def _shorten(columns: list[str]):
+    def run(batches):
+        for b in batches:
+            texts = []
+            for t, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+                if found:
+                    raw, out, at = t.encode(), [], 0
+                    for i, j in sorted((s["start"], s["end"]) for s in found):
+                        out.append(raw[at:i] if i > at else b"")
+                        at = max(at, j)
+                    t = b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
+                texts.append(t)
+            cols = {c: b.column(c) for c in columns}
+            cols["text"] = pa.array(texts, pa.string())
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return run
+
+
+def shorten(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents, with all their columns, without the repeated bytes of their
+    texts. A character that loses some of its bytes goes whole; a document may end
+    up empty, but stays."""
+    spans = repeats(docs, length).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "spans")
+    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("_h", F.xxhash64(text_of()))
+    rows = rows.join(spans, ["_k", "_h"], "left").select(*docs.columns, "spans")
+    return rows.mapInArrow(_shorten(docs.columns), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"))
     return found.select(

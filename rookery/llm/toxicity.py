@@ -266,5 +266,18 @@ def score(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> DataFrame
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence")
 
 
+def _clean(memory: Memory, cut: float):
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([(memory.score(t or "")[0] < cut) for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def reject(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, cut: float = CUT) -> DataFrame:
+    """The documents whose score is below ``cut``, with all their columns."""
+    return docs.mapInArrow(_clean(learn(docs, labels, each), cut), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
