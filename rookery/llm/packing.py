@@ -174,11 +174,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     doc_id), each lot behind the ones before it, so no task orders a whole length.
     """
     rows = stash(pieces(docs, vocabulary, sequence, end_id), "pieces")
-    # fewer than `sequence` x LOTS rows, whatever the input
-    lots = rows.groupBy("length", "lot").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = {}
-    for r in lots:
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    # at most one row for each length up to `sequence`, whatever the input
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = Places(plan(counts, sequence))
     base = F.coalesce(
         F.sum("n").over(
