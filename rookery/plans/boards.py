@@ -1 +1,330 @@
-"""To come."""
+"""Boards, positions and chess features."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from rookery.board import features as B
+from rookery.board import tables
+from rookery.functions import text as T
+from rookery.plans.catalogue import query
+
+#: Positions of the feature queries, with a move.
+BOARDS = [
+    ("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "e2e4"),
+    ("4k3/8/8/8/8/8/4Q3/4K3 w - - 0 1", "e2e7"),
+    ("4k3/8/8/8/8/8/1b6/R3K3 w - - 0 1", "a1a2"),
+    ("3qk2r/8/8/6N1/8/8/8/4K3 w - - 0 1", "g5f7"),
+    ("4k3/8/8/8/2N5/8/8/4K3 w - - 0 1", "c4e5"),
+    ("8/8/8/8/3P4/8/4K3/7k w - - 0 1", "e2e3"),
+    ("8/8/8/8/8/2P5/2P1K3/7k w - - 0 1", "e2e3"),
+    ("8/3p4/8/8/8/8/4K3/7k w - - 0 1", "e2e3"),
+    ("3r4/8/8/8/8/2P1P3/3P4/4K2k w - - 0 1", "e1e2"),
+    ("4r1k1/4q3/8/8/8/8/4R3/6K1 w - - 0 1", "e2e1"),
+    ("4k3/8/8/8/8/8/4B3/4R1K1 w - - 0 1", "e2b5"),
+    ("3r3k/5n2/8/6N1/8/8/8/3RK3 w - - 0 1", "g5f7"),
+    ("4q2k/4b3/8/8/8/8/8/R5K1 w - - 0 1", "a1e1"),
+    ("4k3/5p2/8/8/2B5/8/8/4K3 w - - 0 1", "c4f7"),
+    ("r1bqk2r/1pppbppp/p1n2n2/4p3/B3P3/5N2/PPPP1PPP/RNBQ1RK1 w kq - 4 6", "d2d3"),
+    ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R b KQkq - 0 1", "e6d5"),
+]
+
+BOARDS_SQL = (
+    "b(pos_id, fen) AS (VALUES "
+    + ", ".join(f"({i}::BIGINT, '{f}')" for i, (f, _) in enumerate(BOARDS))
+    + "),\nx AS (SELECT pos_id, "
+    + "replace(" * 8
+    + "split_part(split_part(fen, ' ', 1), ' ', 1)"
+    + "".join(f", '{n}', '{'.' * n}')" for n in range(1, 9))
+    + " AS t FROM b),\nc AS (SELECT pos_id, (7 - i // 8) AS rank, i % 8 AS file, substr(replace(t, '/', ''), i + 1, 1) AS s FROM x, (SELECT unnest(range(0, 64))::INT AS i)),\n"
+    + "p AS (SELECT pos_id, rank * 8 + file AS sq, file, rank, lower(s) AS piece, upper(s) = s AS white FROM c WHERE s <> '.')"
+)
+_WORTH = "CASE piece WHEN 'p' THEN 1 WHEN 'n' THEN 3 WHEN 'b' THEN 3 WHEN 'r' THEN 5 WHEN 'q' THEN 9 ELSE 0 END"
+_ATTACKS = """,
+y AS (SELECT s.i AS sq, dx.d AS dx, dy.d AS dy, k.i AS step, (s.i % 8 + dx.d * k.i) + 8 * (s.i // 8 + dy.d * k.i) AS target
+      FROM (SELECT unnest(range(0, 64)) AS i) s, (SELECT unnest([-1, 0, 1]) AS d) dx, (SELECT unnest([-1, 0, 1]) AS d) dy, (SELECT unnest(range(1, 8)) AS i) k
+      WHERE (dx.d <> 0 OR dy.d <> 0) AND s.i % 8 + dx.d * k.i BETWEEN 0 AND 7 AND s.i // 8 + dy.d * k.i BETWEEN 0 AND 7),
+l AS (SELECT p.*, y.dx, y.dy, t.sq AS target, t.piece AS t_piece, t.white AS t_white, row_number() OVER (PARTITION BY p.pos_id, p.sq, y.dx, y.dy ORDER BY y.step) AS nth
+      FROM p JOIN y ON p.sq = y.sq JOIN p t ON t.pos_id = p.pos_id AND t.sq = y.target
+      WHERE (p.piece IN ('r', 'q') AND abs(y.dx) + abs(y.dy) = 1) OR (p.piece IN ('b', 'q') AND abs(y.dx) + abs(y.dy) = 2)),
+a AS (SELECT pos_id, sq, piece, white, target, t_piece, t_white FROM l WHERE nth = 1
+      UNION ALL SELECT p.pos_id, p.sq, p.piece, p.white, t.sq, t.piece, t.white FROM p JOIN p t ON p.pos_id = t.pos_id
+      WHERE (p.piece = 'n' AND abs(t.file - p.file) * abs(t.rank - p.rank) = 2) OR (p.piece = 'k' AND greatest(abs(t.file - p.file), abs(t.rank - p.rank)) = 1)
+         OR (p.piece = 'p' AND abs(t.file - p.file) = 1 AND t.rank - p.rank = CASE WHEN p.white THEN 1 ELSE -1 END))"""
+
+
+def boards(spark):
+    rows = [(i, f, m) for i, (f, m) in enumerate(BOARDS)]
+    return spark.createDataFrame(rows, "pos_id long, fen string, move string")
+
+
+def own(spark):
+    return B.pieces(boards(spark))
+
+
+@query(
+    "render_board",
+    f"""WITH {BOARDS_SQL} SELECT pos_id, md5('    a  b  c  d  e  f  g  h   ' || chr(10) || '   +------------------------+' || chr(10) ||
+    string_agg((rank + 1) || ' |' || cells || '| ' || (rank + 1), chr(10) ORDER BY rank DESC) || chr(10) || '   +------------------------+' || chr(10) || '    a  b  c  d  e  f  g  h   ') AS board
+    FROM (SELECT pos_id, rank, string_agg(' ' || s || ' ', '' ORDER BY file) AS cells FROM c GROUP BY pos_id, rank) GROUP BY pos_id""",
+)
+def render_board(spark, sf_dir):
+    return boards(spark).select("pos_id", F.md5(T.render_board(F.col("fen"))).alias("board"))
+
+
+@query(
+    "fen_fields",
+    f"""WITH {BOARDS_SQL} SELECT pos_id, array_to_string(string_split(fen, ' ')[1:4], ' ') AS key, CASE WHEN split_part(fen, ' ', 2) = 'w' THEN 'White' ELSE 'Black' END AS side,
+    split_part(fen, ' ', 6)::INT AS fullmove FROM b""",
+)
+def fen_fields(spark, sf_dir):
+    f = F.col("fen")
+    return boards(spark).select(
+        "pos_id", T.fen_key(f).alias("key"), T.side_to_move(f).alias("side"), F.split_part(f, F.lit(" "), F.lit(6)).cast("int").alias("fullmove")
+    )
+
+
+@query(
+    "uci_vocabulary",
+    """WITH s AS (SELECT chr((97 + i % 8)::INT) || (1 + i // 8) AS n, i // 8 AS r, i % 8 AS f FROM (SELECT unnest(range(0, 64)) AS i))
+    SELECT a.n || b.n AS move FROM s a, s b WHERE a.n <> b.n
+    UNION ALL SELECT a.n || b.n || q FROM s a, s b, (SELECT unnest(['q', 'r', 'b', 'n']) AS q) WHERE a.n <> b.n AND b.r IN (0, 7)""",
+)
+def uci_vocabulary(spark, sf_dir):
+    """Every ordered pair of squares, and promotions on the last ranks."""
+    return vocabulary(spark)
+
+
+def vocabulary(spark):
+    i = F.col("id")
+    s = spark.range(64).select(F.concat(F.char(97 + i % 8), (1 + F.floor(i / 8)).cast("string")).alias("n"), F.floor(i / 8).alias("r"))
+    # 64 constant rows a side
+    pairs = s.select(F.col("n").alias("a")).crossJoin(F.broadcast(s.select(F.col("n").alias("b"), "r"))).filter("a <> b")
+    base = pairs.select(F.concat("a", "b").alias("move"))
+    last = pairs.filter(F.col("r").isin(0, 7)).select("a", "b", F.explode(F.array(*[F.lit(x) for x in "qrbn"])).alias("q"))
+    return base.unionAll(last.select(F.concat("a", "b", "q").alias("move")))
+
+
+@query(
+    "material",
+    f"""WITH {BOARDS_SQL} SELECT pos_id, sum(CASE WHEN white THEN {_WORTH} ELSE 0 END)::INT AS white, sum(CASE WHEN white THEN 0 ELSE {_WORTH} END)::INT AS black, count(*) AS pieces FROM p GROUP BY pos_id""",
+)
+def material(spark, sf_dir):
+    v = B.worth(F.col("piece"))
+    return own(spark).groupBy("pos_id").agg(
+        F.sum(F.when(F.col("white"), v).otherwise(0)).cast("int").alias("white"),
+        F.sum(F.when(~F.col("white"), v).otherwise(0)).cast("int").alias("black"),
+        F.count("*").alias("pieces"),
+    )
+
+
+@query(
+    "pawn_islands",
+    f"""WITH {BOARDS_SQL}, f AS (SELECT DISTINCT pos_id, white, file FROM p WHERE piece = 'p'), g AS (SELECT *, file - row_number() OVER (PARTITION BY pos_id, white ORDER BY file) AS island FROM f)
+    SELECT pos_id, white, count(DISTINCT island)::BIGINT AS islands FROM g GROUP BY pos_id, white""",
+)
+def pawn_islands(spark, sf_dir):
+    f = own(spark).filter("piece = 'p'").select("pos_id", "white", "file").distinct()
+    island = F.col("file") - F.row_number().over(Window.partitionBy("pos_id", "white").orderBy("file"))
+    return f.withColumn("i", island).groupBy("pos_id", "white").agg(F.countDistinct("i").alias("islands"))
+
+
+@query(
+    "isolated_pawn",
+    f"""WITH {BOARDS_SQL}, w AS (SELECT * FROM p WHERE piece = 'p'), i AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM w o WHERE o.pos_id = w.pos_id AND o.white = w.white AND abs(o.file - w.file) = 1))
+    SELECT pos_id, white, arg_min(sq, (CASE WHEN white THEN -rank ELSE rank END) * 100 + file)::INT AS sq FROM i GROUP BY pos_id, white""",
+)
+def isolated_pawn(spark, sf_dir):
+    """The most advanced pawn without a friend on a neighbouring file."""
+    w = own(spark).filter("piece = 'p'")
+    o = w.select("pos_id", "white", F.col("file").alias("of"))
+    alone = w.join(o, (w.pos_id == o.pos_id) & (w.white == o.white) & (F.abs(o.of - w.file) == 1), "left_anti")
+    key = F.when(F.col("white"), -F.col("rank")).otherwise(F.col("rank")) * 100 + F.col("file")
+    return alone.groupBy("pos_id", "white").agg(F.min_by("sq", key).cast("int").alias("sq"))
+
+
+@query(
+    "doubled_pawn",
+    f"WITH {BOARDS_SQL} SELECT pos_id, white, min(file)::INT AS file FROM (SELECT pos_id, white, file FROM p WHERE piece = 'p' GROUP BY ALL HAVING count(*) >= 2) GROUP BY pos_id, white",
+)
+def doubled_pawn(spark, sf_dir):
+    n = own(spark).filter("piece = 'p'").groupBy("pos_id", "white", "file").agg(F.count("*").alias("n"))
+    return n.filter("n >= 2").groupBy("pos_id", "white").agg(F.min("file").alias("file"))
+
+
+@query(
+    "passed_pawn",
+    f"""WITH {BOARDS_SQL} SELECT pos_id, white, min(sq)::INT AS sq FROM p WHERE piece = 'p' AND NOT EXISTS (SELECT 1 FROM p o WHERE o.pos_id = p.pos_id AND o.piece = 'p' AND o.white <> p.white AND abs(o.file - p.file) <= 1
+    AND CASE WHEN p.white THEN o.rank > p.rank ELSE o.rank < p.rank END) GROUP BY pos_id, white""",
+)
+def passed_pawn(spark, sf_dir):
+    """No enemy pawn ahead on its file or beside it."""
+    w = own(spark).filter("piece = 'p'")
+    o = w.select("pos_id", F.col("white").alias("ow"), F.col("file").alias("of"), F.col("rank").alias("orank"))
+    ahead = F.when(w.white, F.col("orank") > F.col("rank")).otherwise(F.col("orank") < F.col("rank"))
+    block = (w.pos_id == o.pos_id) & (o.ow != w.white) & (F.abs(o.of - w.file) <= 1) & ahead
+    return w.join(o, block, "left_anti").groupBy("pos_id", "white").agg(F.min("sq").cast("int").alias("sq"))
+
+
+@query(
+    "open_files",
+    f"""WITH {BOARDS_SQL}, n AS (SELECT b.pos_id, f.file, max(CASE WHEN p.white THEN 1 ELSE 0 END) AS w, max(CASE WHEN NOT p.white THEN 1 ELSE 0 END) AS k
+      FROM b CROSS JOIN (SELECT unnest(range(0, 8))::INT AS file) f LEFT JOIN p ON p.pos_id = b.pos_id AND p.file = f.file AND p.piece = 'p' GROUP BY ALL)
+    SELECT pos_id, file, CASE WHEN coalesce(w, 0) + coalesce(k, 0) = 0 THEN 'open' WHEN coalesce(w, 0) = 0 THEN 'half-open white' ELSE 'half-open black' END AS kind FROM n WHERE coalesce(w, 0) = 0 OR coalesce(k, 0) = 0""",
+)
+def open_files(spark, sf_dir):
+    files = boards(spark).select("pos_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("file"))
+    n = own(spark).filter("piece = 'p'").groupBy("pos_id", "file").agg(
+        F.max(F.col("white").cast("int")).alias("w"), F.max((~F.col("white")).cast("int")).alias("k")
+    )
+    n = files.join(n, ["pos_id", "file"], "left").na.fill(0, ["w", "k"])
+    kind = F.when(F.col("w") + F.col("k") == 0, "open").when(F.col("w") == 0, "half-open white").otherwise("half-open black")
+    return n.filter("w = 0 OR k = 0").select("pos_id", "file", kind.alias("kind"))
+
+
+@query(
+    "pawn_majority",
+    f"""WITH {BOARDS_SQL}, n AS (SELECT pos_id, white, count(*) FILTER (WHERE file <= 3) AS q, count(*) FILTER (WHERE file >= 4) AS k FROM p WHERE piece = 'p' GROUP BY ALL)
+    SELECT pos_id, white, CASE WHEN q > k THEN 'queenside' ELSE 'kingside' END AS wing FROM n WHERE abs(q - k) >= 2""",
+)
+def pawn_majority(spark, sf_dir):
+    n = own(spark).filter("piece = 'p'").groupBy("pos_id", "white").agg(F.count_if(F.col("file") <= 3).alias("q"), F.count_if(F.col("file") >= 4).alias("k"))
+    return n.filter(F.abs(F.col("q") - F.col("k")) >= 2).select("pos_id", "white", F.when(F.col("q") > F.col("k"), "queenside").otherwise("kingside").alias("wing"))
+
+
+@query("bishop_pair", f"WITH {BOARDS_SQL} SELECT pos_id, white FROM p WHERE piece = 'b' GROUP BY ALL HAVING count(*) >= 2")
+def bishop_pair(spark, sf_dir):
+    n = own(spark).filter("piece = 'b'").groupBy("pos_id", "white").agg(F.count("*").alias("n"))
+    return n.filter("n >= 2").select("pos_id", "white")
+
+
+@query("rook_on_seventh", f"WITH {BOARDS_SQL} SELECT DISTINCT pos_id, white FROM p WHERE piece = 'r' AND rank = CASE WHEN white THEN 6 ELSE 1 END")
+def rook_on_seventh(spark, sf_dir):
+    seventh = F.when(F.col("white"), 6).otherwise(1)
+    return own(spark).filter((F.col("piece") == "r") & (F.col("rank") == seventh)).select("pos_id", "white").distinct()
+
+
+@query(
+    "exposed_king",
+    f"""WITH {BOARDS_SQL}, k AS (SELECT *, rank + CASE WHEN white THEN 1 ELSE -1 END AS sr FROM p WHERE piece = 'k')
+    SELECT k.pos_id, k.white, count(s.sq) AS shield FROM k LEFT JOIN p s ON s.pos_id = k.pos_id AND s.white = k.white AND s.piece = 'p' AND s.rank = k.sr AND abs(s.file - k.file) <= 1
+    WHERE k.sr BETWEEN 0 AND 7 GROUP BY ALL HAVING count(s.sq) < 2""",
+)
+def exposed_king(spark, sf_dir):
+    """Fewer than two pawns on the three squares before the king."""
+    p = own(spark)
+    k = p.filter("piece = 'k'").select("pos_id", "white", F.col("file").alias("kf"), (F.col("rank") + F.when(F.col("white"), 1).otherwise(-1)).alias("sr"))
+    s = p.filter("piece = 'p'").select("pos_id", "white", "file", "rank")
+    near = k.join(s, ["pos_id", "white"], "left")
+    shield = F.coalesce(F.sum(((F.col("rank") == F.col("sr")) & (F.abs(F.col("file") - F.col("kf")) <= 1)).cast("long")), F.lit(0))
+    return near.filter(F.col("sr").between(0, 7)).groupBy("pos_id", "white").agg(shield.alias("shield")).filter("shield < 2")
+
+
+@query(
+    "development",
+    f"""WITH {BOARDS_SQL} SELECT pos_id, white, count(*) AS undeveloped FROM p WHERE rank = CASE WHEN white THEN 0 ELSE 7 END AND ((piece = 'n' AND file IN (1, 6)) OR (piece = 'b' AND file IN (2, 5))) GROUP BY ALL""",
+)
+def development(spark, sf_dir):
+    home = F.col("rank") == F.when(F.col("white"), 0).otherwise(7)
+    minor = ((F.col("piece") == "n") & F.col("file").isin(1, 6)) | ((F.col("piece") == "b") & F.col("file").isin(2, 5))
+    return own(spark).filter(home & minor).groupBy("pos_id", "white").agg(F.count("*").alias("undeveloped"))
+
+
+@query(
+    "hanging_pieces",
+    f"""WITH {BOARDS_SQL}{_ATTACKS}, h AS (SELECT pos_id, target, max((white <> t_white)::INT) AS hit, max((white = t_white)::INT) AS guarded FROM a GROUP BY ALL)
+    SELECT p.pos_id, p.sq::INT AS sq, p.piece, p.white FROM p JOIN h ON h.pos_id = p.pos_id AND h.target = p.sq WHERE hit = 1 AND guarded = 0 AND piece <> 'k'""",
+)
+def hanging_pieces(spark, sf_dir):
+    return B.loose(spark, own(spark)).select("pos_id", F.col("sq").cast("int").alias("sq"), "piece", "white")
+
+
+@query(
+    "attack_counts",
+    f"WITH {BOARDS_SQL}{_ATTACKS} SELECT pos_id, white, count(*) FILTER (WHERE white <> t_white) AS hits, count(*) FILTER (WHERE white = t_white) AS guards FROM a GROUP BY ALL",
+)
+def attack_counts(spark, sf_dir):
+    same = F.col("white") == F.col("t_white")
+    return B.attacks(spark, own(spark)).groupBy("pos_id", "white").agg(F.count_if(~same).alias("hits"), F.count_if(same).alias("guards"))
+
+
+@query(
+    "fork_targets",
+    f"""WITH {BOARDS_SQL}{_ATTACKS} SELECT pos_id, sq::INT AS sq, count(*) AS targets FROM a WHERE white <> t_white AND t_piece IN ('n', 'b', 'r', 'q') GROUP BY ALL HAVING count(*) >= 2""",
+)
+def fork_targets(spark, sf_dir):
+    """Pieces that hit two or more enemies worth three or more."""
+    hit = B.attacks(spark, own(spark)).filter((F.col("white") != F.col("t_white")) & F.col("t_piece").isin("n", "b", "r", "q"))
+    return hit.groupBy("pos_id", F.col("sq").cast("int").alias("sq")).agg(F.count("*").alias("targets")).filter("targets >= 2")
+
+
+_LINE = "f AS (SELECT pos_id, sq, white, dx, dy, max(CASE WHEN nth = 1 THEN t_piece END) AS p1, max(CASE WHEN nth = 1 THEN t_white::INT END) AS w1, max(CASE WHEN nth = 2 THEN t_piece END) AS p2, max(CASE WHEN nth = 2 THEN t_white::INT END) AS w2, max(CASE WHEN nth = 1 THEN target END) AS t1 FROM l GROUP BY ALL)"
+
+
+def _lines(spark):
+    nth = lambda n, c: F.max(F.when(F.col("nth") == n, c))
+    return B.sights(spark, own(spark)).groupBy("pos_id", "sq", "white", "dx", "dy").agg(
+        nth(1, F.col("t_piece")).alias("p1"),
+        nth(1, F.col("t_white")).alias("w1"),
+        nth(2, F.col("t_piece")).alias("p2"),
+        nth(2, F.col("t_white")).alias("w2"),
+        nth(1, F.col("target")).alias("t1"),
+    )
+
+
+@query(
+    "skewer",
+    f"""WITH {BOARDS_SQL}{_ATTACKS}, {_LINE}, v AS (SELECT *, CASE p1 WHEN 'p' THEN 1 WHEN 'n' THEN 3 WHEN 'b' THEN 3 WHEN 'r' THEN 5 WHEN 'q' THEN 9 ELSE 0 END AS v1, CASE p2 WHEN 'p' THEN 1 WHEN 'n' THEN 3 WHEN 'b' THEN 3 WHEN 'r' THEN 5 WHEN 'q' THEN 9 ELSE 0 END AS v2 FROM f)
+    SELECT DISTINCT pos_id, sq::INT AS sq FROM v WHERE w1 <> white::INT AND w2 <> white::INT AND (p1 = 'k' OR v1 >= v2)""",
+)
+def skewer(spark, sf_dir):
+    """Two enemies in a line of sight, the front one the king or worth no less."""
+    front = (F.col("p1") == "k") | (B.worth(F.col("p1")) >= B.worth(F.col("p2")))
+    both = (F.col("w1") != F.col("white")) & (F.col("w2") != F.col("white"))
+    return _lines(spark).filter(both & front).select("pos_id", F.col("sq").cast("int").alias("sq")).distinct()
+
+
+@query(
+    "xray",
+    f"WITH {BOARDS_SQL}{_ATTACKS}, {_LINE} SELECT DISTINCT pos_id, sq::INT AS sq FROM f WHERE w2 <> white::INT AND p2 IN ('k', 'q')",
+)
+def xray(spark, sf_dir):
+    hit = (F.col("w2") != F.col("white")) & F.col("p2").isin("k", "q")
+    return _lines(spark).filter(hit).select("pos_id", F.col("sq").cast("int").alias("sq")).distinct()
+
+
+@query(
+    "pinned_pieces",
+    f"WITH {BOARDS_SQL}{_ATTACKS}, {_LINE} SELECT DISTINCT pos_id, t1::INT AS sq FROM f WHERE w1 <> white::INT AND w2 <> white::INT AND p2 = 'k' AND p1 <> 'k'",
+)
+def pinned_pieces(spark, sf_dir):
+    """The front of two enemies in a line of sight, the king behind it."""
+    pin = (F.col("w1") != F.col("white")) & (F.col("w2") != F.col("white")) & (F.col("p2") == "k") & (F.col("p1") != "k")
+    return _lines(spark).filter(pin).select("pos_id", F.col("t1").cast("int").alias("sq")).distinct()
+
+
+# -- with the rules (tables functions; no SQL) --------------------------------------
+
+GAMES = [
+    (1, "1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Ba4 Nf6 5. O-O Be7 6. Re1 b5 7. Bb3 d6 1-0"),
+    (2, "1. d4 { [%clk 0:05:00] } d5 2. c4 e6 3. Nc3 Nf6 4. Bg5 Be7 5. e3 O-O 6. Nf3 Nbd7 1/2-1/2"),
+    (3, "1. e4 c5 2. Nf3 d6 3. d4 cxd4 4. Nxd4 Nf6 5. Nc3 a6 6. Qxh9 e5 0-1"),
+]
+PUZZLES = [(1, "4k3/8/8/8/8/8/4Q3/4K3 b - - 0 1", "e8d8 e2e7 d8e7"), (2, "3qk2r/8/8/6N1/8/8/8/4K3 b k - 0 1", "d8d7 g5f7 d7f7")]
+
+
+@query("game_positions")
+def game_positions(spark, sf_dir):
+    g = spark.createDataFrame(GAMES, "game_id long, movetext string")
+    return tables.game_positions(g, skip_first=2, skip_last=1, rate=0.8)
+
+
+@query("puzzle_positions")
+def puzzle_positions(spark, sf_dir):
+    return tables.puzzle_positions(spark.createDataFrame(PUZZLES, "game_id long, fen string, moves string"))
+
+
+@query("position_features")
+def position_features(spark, sf_dir):
+    return tables.features(boards(spark))
