@@ -328,3 +328,17 @@ def puzzle_positions(spark, sf_dir):
 @query("position_features")
 def position_features(spark, sf_dir):
     return tables.features(boards(spark))
+
+
+@query("reasoning_traces")
+def reasoning_traces(spark, sf_dir):
+    """A trace for every board, its move against two others of the legal ones."""
+    from rookery.board.rules import Position
+    from rookery.board.trace import traces
+
+    rows = []
+    for i, (fen, move) in enumerate(BOARDS):
+        others = [m for m in Position(fen).legal_moves() if m != move][:2]
+        rows.append((i, fen, move, [(move, 40), *((m, 10 - 160 * k) for k, m in enumerate(others))]))
+    schema = "pos_id long, fen string, target string, candidates array<struct<uci: string, cp: int>>"
+    return traces(spark.createDataFrame(rows, schema))
