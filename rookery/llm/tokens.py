@@ -57,11 +57,11 @@ class _Cache(dict):
     """Packed ids of chunks. Latin words, which nothing cuts or changes before the
     merges, go to the tokenizer's model at once; other chunks take the whole way."""
 
-    def __init__(self, tok):
-        self._tok, self._merge = tok, tok.model.tokenize
+    def __init__(self, tok, lower: bool):
+        self._tok, self._merge, self._lower = tok, tok.model.tokenize, lower
 
     def __missing__(self, chunk: str) -> bytes:
-        if _LATIN_WORD(chunk):
+        if _LATIN_WORD(chunk) and not (self._lower and chunk != chunk.lower()):
             ids = [t.id for t in self._merge(chunk.encode().decode("latin-1").translate(_LETTERS))]
         else:
             ids = self._tok.encode(chunk, add_special_tokens=False).ids
@@ -85,7 +85,7 @@ class ChunkEncoder:
         self._chunks = re.compile(pattern).findall
         self._entries = entries
         self._lower = lower
-        self._cache = _Cache(self._tok)
+        self._cache = _Cache(self._tok, lower)
 
     def encode(self, text: str) -> bytes:
         for s in self._special:
@@ -93,7 +93,10 @@ class ChunkEncoder:
                 return pack_ids(self._tok.encode(text, add_special_tokens=False).ids)
         if len(self._cache) > self._entries:
             self._cache.clear()
-        chunks = self._chunks(text.lower() if self._lower else text)
+        # the tokenizer lowers letter by letter, Python writes a sigma by its place
+        if self._lower and "\u03a3" not in text:
+            text = text.lower()
+        chunks = self._chunks(text)
         return b"".join(map(self._cache.__getitem__, chunks))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
