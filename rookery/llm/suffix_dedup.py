@@ -45,7 +45,7 @@ LENGTH = 100
 PREFIX = 32
 WIDTH = PREFIX + 8
 #: Text that one sorted run covers.
-RUN_BYTES = 24 << 20
+RUN_BYTES = 12 << 20
 #: Text per range of the merge.
 RANGE_BYTES = 12 << 20
 #: Suffixes that the splitters are drawn from, about.
@@ -110,34 +110,38 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     for at in range(0, max(0, len(buf) - length + 1), BLOCK):
         part = buf[at : at + BLOCK + length - 1]
         short, full = hasher(part)
-        v = _mix(short)
-        n, best, i, step = len(part) - length + 1, v, np.arange(len(v), dtype=np.int32), 1
+        best = _mix(short)
+        i, step = np.arange(len(best), dtype=np.int32), 1
         while step * 2 <= w:
-            right = best[step:] < best[:-step]
-            i = np.where(right, i[step:], i[:-step])
+            i = np.where(best[step:] < best[:-step], i[step:], i[:-step])
             best = np.minimum(best[:-step], best[step:])
             step *= 2
         if step < w:
             d = w - step
             i = np.where(best[d:] < best[:-d], i[d:], i[:-d])
-        found.append((i[:n].astype(np.int64) + at, full[:n]))
+        n = len(part) - length + 1
+        i, ok = i[:n], np.ones(n, bool)
+        # windows that cross a document's end are none
+        for e in ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(part), "left")].tolist():
+            ok[max(0, e - at - length + 1) : max(0, e - at)] = False
+        p = np.flatnonzero(ok)
+        if not len(p):
+            continue
+        c = i[p]
+        first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1))))
+        last = p[np.append(first[1:], len(p)) - 1]
+        first = p[first]
+        found.append((i[first].astype(np.int64) + at, first + at, last + at, full[first], full[last]))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(_U)
-    chosen, full = (np.concatenate(x) for x in zip(*found))
-    ok = np.ones(len(chosen), bool)
-    for e in ends[:-1].tolist():
-        ok[max(0, e - length + 1) : e] = False
-    p = np.flatnonzero(ok)
-    if not len(p):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(_U)
-    c = chosen[p]
-    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1))))
-    last = np.concatenate((first[1:], [len(p)])) - 1
-    lo, hi, a = p[first], p[last], c[first]
+    a, lo, hi, left, right = (np.concatenate(x) for x in zip(*found))
+    # an anchor whose windows two blocks share comes twice
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (lo[1:] != hi[:-1] + 1))))
+    final = np.append(new[1:], len(a)) - 1
+    a, lo, hi, left, right = a[new], lo[new], hi[final], left[new], right[final]
     shape = ((a - lo) * length + (hi - lo)).astype(_U)
-    return a, lo, hi, _mix(_mix(full[lo] + shape) * _U(3) + full[hi])
+    return a, lo, hi, _mix(_mix(left + shape) * _U(3) + right)
 
 
 def _rows(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
