@@ -19,7 +19,8 @@ a document before or in the same one. The steps:
    The common prefixes that come out are the suffix array's: 40 bytes in common, and
    all but the earliest document's entry are repeats; 32 or more, and the windows of
    the first entries of each class are compared one by one.
-4. *Edges.* Those few windows meet by two 64-bit hashes, each with its earliest place.
+4. *Edges.* Those few windows meet by 80 bits of two independent hashes, each with its
+   earliest place in each task.
 
 A class sends at most one entry per run and the merge streams, so a passage that a
 third of all documents hold neither fills a task nor makes pairs.
@@ -468,43 +469,135 @@ def _sample(length: int):
     return run
 
 
-def _windows(length: int):
-    """Hashes of the windows that are to be compared, of each document."""
+def _bucket(w: np.ndarray, buckets: int) -> np.ndarray:
+    return ((w >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
+def _repeated(order: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of entries in order of their hashes and places: those that are not the first."""
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    return np.concatenate(([False], same))
+
+
+def _windows(length: int, buckets: int):
+    """Hashes of the windows that are to be compared, by bucket. A task keeps each
+    one's first place only; the others are repeats already."""
+
+    def out(keys, parts):
+        doc, p, one, two = (np.concatenate(x) for x in zip(*parts))
+        table_ = np.array(keys, np.int64).reshape(-1, 2)
+        rank = np.empty(len(keys), np.int64)
+        rank[np.lexsort((table_[:, 1], table_[:, 0]))] = np.arange(len(keys))
+        order = np.lexsort((p, rank[doc], two, one))
+        again = _repeated(order, one, two)
+        late = order[again]
+        late = late[np.lexsort((p[late], doc[late]))]
+        spans = merged_spans(doc[late], p[late].astype(np.int64), p[late].astype(np.int64) + length)
+        order = order[~again]
+        doc, p, one, two = doc[order], p[order], one[order], two[order]
+        bucket = _bucket(one, buckets)
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        ids, blobs = [], []
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+            docs, number = np.unique(doc[i:j], return_inverse=True)
+            ids.append(int(bucket[i]))
+            blobs.append(
+                _pack([table_[docs].astype("<i8"), number.astype("<u4"), p[i:j].astype("<u4"), one[i:j], two[i:j]])
+            )
+        if len(spans[0]):
+            ids.append(0)
+            blobs.append(b"=" + _pack([table_[spans[0]].astype("<i8"), spans[1].astype("<i8"), spans[2].astype("<i8")]))
+        for i in range(0, len(ids), 16):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[i : i + 16], pa.int32()), pa.array(blobs[i : i + 16], pa.binary())], names=["range", "blob"]
+            )
 
     def run(batches):
+        keys, parts, size, last = [], [], 0, None
         for b in batches:
-            texts, spans = b.column("text").to_pylist(), b.column("edges").to_pylist()
-            ks, hs = b.column("k").to_pylist(), b.column("h").to_pylist()
-            for k, h, t, edges in zip(ks, hs, texts, spans):
+            texts, spans = b.column("z").to_pylist(), b.column("edges").to_pylist()
+            for k, h, t, edges in zip(b.column("k").to_pylist(), b.column("h").to_pylist(), texts, spans):
+                if (k, h) == last:  # a row that repeats the document
+                    continue
+                last, t = (k, h), _unzipped(t)
                 edges = sorted((e["start"], e["end"]) for e in edges)
                 p = np.unique(np.concatenate([np.arange(i, j + 1) for i, j in edges]))
                 new = np.flatnonzero(np.concatenate(([True], p[1:] - p[:-1] > length)))
                 buf = np.frombuffer(t, np.uint8)
-                one, two = np.empty(len(p), _U), np.empty(len(p), _U)
                 for i, j in zip(new.tolist(), [*new[1:].tolist(), len(p)]):
                     at = p[i]
                     x, y = window_hashes(buf[at : p[j - 1] + length], length)
-                    one[i:j], two[i:j] = x[p[i:j] - at], y[p[i:j] - at]
-                n = len(p)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(one.view(np.int64)),
-                        pa.array(two.view(np.int64)),
-                        pa.array(np.full(n, k)),
-                        pa.array(np.full(n, h)),
-                        pa.array(p.astype(np.int32)),
-                    ],
-                    names=["w1", "w2", "k", "h", "p"],
-                )
+                    here = p[i:j] - at
+                    parts.append((np.full(j - i, len(keys)), p[i:j].astype(np.int32), x[here], (y[here] >> _U(48)).astype(np.uint16)))
+                    size += j - i
+                keys.append((k, h))
+            if size >= 1 << 20:
+                yield from out(keys, parts)
+                keys, parts, size = [], [], 0
+        if size:
+            yield from out(keys, parts)
 
     return run
 
 
+def _meet(length: int):
+    """Windows of a bucket that also start earlier, as spans."""
+
+    def spans(blobs):
+        parts = []
+        for blob in blobs:
+            keys, number, p, one, two = _unpack(blob)
+            keys = np.frombuffer(keys, "<i8").reshape(-1, 2)[np.frombuffer(number, "<u4")]
+            parts.append((keys, np.frombuffer(p, "<u4"), np.frombuffer(one, "<u8"), np.frombuffer(two, "<u2")))
+        keys, p, one, two = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((p, keys[:, 1], keys[:, 0], two, one))
+        late = order[_repeated(order, one, two)]
+        if not len(late):
+            return
+        late = late[np.lexsort((p[late], keys[late, 1], keys[late, 0]))]
+        own = keys[late]
+        doc = np.concatenate(([0], np.cumsum((own[1:] != own[:-1]).any(1))))
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        d, i, j = merged_spans(doc, p[late].astype(np.int64), p[late].astype(np.int64) + length)
+        for at in range(0, len(d), 50_000):
+            yield _batch(own[first][d[at : at + 50_000]], i[at : at + 50_000], j[at : at + 50_000], True)
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for r, blob in zip(b.column("range").to_pylist(), b.column("blob").to_pylist()):
+                if blob[:1] == b"=":
+                    keys, start, end = (np.frombuffer(x, "<i8") for x in _unpack(blob[1:]))
+                    yield _batch(keys, start, end, True)
+                else:
+                    held.setdefault(r, []).append(blob)
+        for blobs in held.values():
+            yield from spans(blobs)
+
+    return run
+
+
+def _zipped(batches):
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        cols = {c: b.column(c) for c in b.schema.names if c != "text"}
+        cols["z"] = pa.array([z.compress(t) for t in b.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def _unzipped(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _cut(length: int):
     def run(batches):
         for b in batches:
             kept, removed, spans, sizes, sums = [], [], [], [], []
-            for t, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, found in zip(map(_unzipped, b.column("z").to_pylist()), b.column("spans").to_pylist()):
                 cut = sorted((s["start"], s["end"]) for s in found or ())
                 out, at, n = [], 0, 0
                 for i, j in cut:
@@ -550,10 +643,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``k, h, spans`` of the documents that hold repeated bytes."""
-    spark = docs.sparkSession
-    tune(spark)
+def dealt(rows: DataFrame) -> DataFrame:
+    """Documents by their place in the order, texts compressed, in one exchange that
+    the comparison of edges and the removal share."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = rows.mapInArrow(_zipped, f"{kept}, z binary")
+    # said here so that no join adds it to one side alone, which would part the exchanges
+    return rows.filter("k IS NOT NULL AND h IS NOT NULL").repartition("k", "h")
+
+
+def repeats(docs: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``k, h, spans`` of the documents that hold repeated bytes; ``texts``: the
+    dealt documents."""
     rows = keyed(docs)
     total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_BYTES))
@@ -561,25 +662,21 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     drawn = rows.filter(F.pmod("h", F.lit(share)) == 0).mapInArrow(_sample(length), "s binary")
     drawn = sorted({bytes(r[0]) for r in drawn.limit(20 * SAMPLE).collect()})
     splitters = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if len(drawn) >= ranges else []
-    found = rows.mapInArrow(_map(splitters, length), "range int, blob binary")
-    found = found.repartitionById(len(splitters) + 1, "range").mapInArrow(_reduce(splitters, length), FOUND)
-    found = stash(found, "suffix-found")
+    blobs = "range int, blob binary"
+    found = rows.mapInArrow(_map(splitters, length), blobs).repartitionById(len(splitters) + 1, "range")
+    found = stash(found.mapInArrow(_reduce(splitters, length), FOUND), "suffix-found")
     edges = found.filter(~F.col("settled")).groupBy("k", "h").agg(F.collect_list(F.struct("start", "end")).alias("edges"))
-    windows = rows.join(edges, ["k", "h"]).dropDuplicates(["k", "h"])
-    windows = windows.mapInArrow(_windows(length), "w1 long, w2 long, k long, h long, p int")
-    windows = stash(windows, "suffix-windows")
-    first = windows.groupBy("w1", "w2").agg(
-        F.min(F.struct("k", "h", "p")).alias("_first"), F.count("*").alias("_n")
-    ).filter("_n > 1").drop("_n")
-    later = windows.join(first, ["w1", "w2"]).filter(F.struct("k", "h", "p") > F.col("_first"))
-    later = later.select("k", "h", F.col("p").cast("long").alias("start"), (F.col("p") + length).cast("long").alias("end"))
-    spans = found.filter("settled").select("k", "h", "start", "end").unionByName(later)
+    edges = texts.join(edges, ["k", "h"]).select("k", "h", "z", "edges")
+    later = edges.mapInArrow(_windows(length, ranges), blobs).repartitionById(ranges, "range").mapInArrow(_meet(length), FOUND)
+    spans = found.filter("settled").unionByName(later).select("k", "h", "start", "end")
     return spans.groupBy("k", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``k, h, n_bytes, n_removed, n_spans, kept_sha256, kept`` of each document."""
-    rows = keyed(docs).join(repeats(docs, length), ["k", "h"], "left")
+    tune(docs.sparkSession)
+    texts = dealt(keyed(docs))
+    rows = texts.join(repeats(docs, texts, length), ["k", "h"], "left").select("k", "h", "z", "spans")
     return rows.mapInArrow(
         _cut(length),
         "k long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
@@ -590,19 +687,17 @@ def _shorten(columns: list[str]):
     def run(batches):
         for b in batches:
             texts = []
-            for t, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                if found:
-                    raw, out, at = t.encode(), [], 0
-                    for i, j in sorted((s["start"], s["end"]) for s in found):
-                        out.append(raw[at:i] if i > at else b"")
-                        at = max(at, j)
-                    t = b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
-                texts.append(t)
-            cols = {c: b.column(c) for c in columns}
+            cols = {c: b.column(c) for c in columns if c != "text"}
+            for t, null, found in zip(*(b.column(c).to_pylist() for c in ("z", "_null", "spans"))):
+                raw, out, at = _unzipped(t), [], 0
+                for i, j in sorted((s["start"], s["end"]) for s in found or ()):
+                    out.append(raw[at:i] if i > at else b"")
+                    at = max(at, j)
+                texts.append(None if null else b"".join([*out, raw[at:]]).decode("utf-8", "ignore"))
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            yield pa.RecordBatch.from_arrays([cols[c] for c in columns], names=columns)
 
     return run
 
@@ -611,9 +706,17 @@ def shorten(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with all their columns, without the repeated bytes of their
     texts. A character that loses some of its bytes goes whole; a document may end
     up empty, but stays."""
-    spans = repeats(docs, length).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "spans")
-    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("_h", F.xxhash64(text_of()))
-    rows = rows.join(spans, ["_k", "_h"], "left").select(*docs.columns, "spans")
+    tune(docs.sparkSession)
+    rows = docs.withColumns(
+        {
+            "k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)),
+            "h": F.xxhash64(text_of()),
+            "_null": F.col("text").isNull(),
+            "text": text_of().cast("binary"),
+        }
+    )
+    texts = dealt(rows)
+    rows = texts.join(repeats(docs, texts, length), ["k", "h"], "left")
     return rows.mapInArrow(_shorten(docs.columns), docs.schema)
 
 
