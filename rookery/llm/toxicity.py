@@ -34,14 +34,16 @@ from pyspark.sql import functions as F
 from rookery.llm.common import stash, table, text_of, tune
 
 #: Examples of each label at most.
-EXAMPLES = 2000
+EXAMPLES = 1500
 NEAREST = 15
-BLOCK = 50
+BLOCK = 256
 POWER = 2.0
 CUT = 0.7
 #: Words that fewer examples hold, or with weaker evidence, are not indexed.
 LEAST_EXAMPLES = 5
 EVIDENCE = 20.0
+#: Words that span the space, at most: those of the strongest evidence.
+TERMS = 300
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -55,7 +57,7 @@ def telling(found: list[tuple[Counter, int]]) -> set[str]:
     """Words whose presence depends on the label, by a likelihood-ratio test."""
     total = Counter(y for _, y in found)
     n = [Counter(w for words, y in found if y == label for w in words) for label in (0, 1)]
-    out = set()
+    out = []
     for w in n[0].keys() | n[1].keys():
         a, b = n[1][w], n[0][w]
         if a + b < LEAST_EXAMPLES:
@@ -68,8 +70,8 @@ def telling(found: list[tuple[Counter, int]]) -> set[str]:
                 if seen and expected:
                     g += 2 * seen * np.log(seen / expected)
         if g >= EVIDENCE:
-            out.add(w)
-    return out
+            out.append((-g, w))
+    return {w for _, w in sorted(out)[:TERMS]}
 
 
 def held_out(doc_id="doc_id"):
@@ -116,6 +118,9 @@ class Memory:
     """The index over the examples, with its own calibration."""
 
     def __init__(self, found: list[tuple[Counter, int]], documents: int, df: dict[str, int], totals: dict[int, int]):
+        # examples that share their rarest words stand together: tighter block bounds
+        rare = [min(((df.get(w, 0), w) for w in words if w in df), default=(0, "")) for words, _ in found]
+        found = [found[i] for i in sorted(range(len(found)), key=lambda i: (rare[i], found[i][1], i))]
         self.labels = np.array([y for _, y in found], np.float64)
         drawn = Counter(y for _, y in found)
         self.share = np.array([totals.get(y, 0) / drawn[y] for _, y in found])
@@ -138,6 +143,10 @@ class Memory:
         word = np.repeat(np.arange(len(postings)), sizes)
         if len(word):
             np.maximum.at(self.most, (word, self.example // BLOCK), np.nextafter(self.value.astype(np.float32), np.float32(2)))
+        # where each block's postings of a word begin, behind the word's first
+        key = word * (self.blocks + 1) + self.example // BLOCK
+        grid = np.arange(len(postings))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)
+        self._cuts = np.searchsorted(key, grid) - self.start[:-1, None]
         self.steps, self.rates = np.zeros(0), np.zeros(0)
         if len(found):
             self._calibrate()
@@ -159,41 +168,25 @@ class Memory:
         if not len(ids):
             return []
         bound = w.astype(np.float32) @ self.most[ids]
-        # postings of the words, cut into blocks only as blocks are opened
-        begin, end = self.start[ids], self.start[ids + 1]
-        best: list[tuple[float, int]] = []
+        begin = self.start[ids]
         order = np.argsort(-bound, kind="stable").tolist()
-        opened = 0
-        step = 4
-        scores = np.zeros(len(self.labels))
-        while opened < len(order):
-            some = order[opened : opened + step]
-            if bound[some[0]] <= 0 or (len(best) >= k and bound[some[0]] * 1.0001 < best[k - 1][0]):
+        near, who = np.zeros(0), np.zeros(0, np.int64)
+        for b in order:
+            if bound[b] <= 0 or (len(near) >= k and bound[b] * 1.0001 < near[k - 1]):
                 break
-            for b in some:
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.labels))
-                i = begin + self._offset(ids, b)
-                j = begin + self._offset(ids, b + 1)
-                sizes = j - i
-                total = int(sizes.sum())
-                if total:
-                    at = np.repeat(i - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
-                    scores[lo:hi] = np.bincount(self.example[at] - lo, self.value[at] * np.repeat(w, sizes), hi - lo)
-                best += [(float(s), lo + int(n)) for n, s in enumerate(scores[lo:hi]) if s > 0 and lo + n != without]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-            opened += len(some)
-            step = 8
-        del end
-        return best
-
-    def _offset(self, ids: np.ndarray, block: int) -> np.ndarray:
-        if not hasattr(self, "_cuts"):
-            word = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
-            key = word * (self.blocks + 1) + self.example // BLOCK
-            grid = np.arange(len(self.start) - 1)[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)
-            self._cuts = (np.searchsorted(key, grid) - self.start[:-1, None]).astype(np.int32)
-        return self._cuts[ids, block]
+            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.labels))
+            i, j = begin + self._cuts[ids, b], begin + self._cuts[ids, b + 1]
+            sizes = j - i
+            total = int(sizes.sum())
+            at = np.repeat(i - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+            scores = np.bincount(self.example[at] - lo, self.value[at] * np.repeat(w, sizes), hi - lo)
+            if lo <= without < hi:
+                scores[without - lo] = 0
+            some = np.flatnonzero(scores)
+            near, who = np.concatenate((near, scores[some])), np.concatenate((who, some + lo))
+            best = np.lexsort((who, -near))[:k]
+            near, who = near[best], who[best]
+        return list(zip(near.tolist(), who.tolist()))
 
     def raw(self, found: list[tuple[float, int]]) -> float:
         """Votes for label 1, weighted by cosine."""
