@@ -203,7 +203,7 @@ def running_average(spark, sf_dir):
 
 @query(
     "metric_results_join",
-    f"""WITH {MOVES_SQL}, p AS (SELECT move, sum(cp) AS s FROM m GROUP BY move), c AS (SELECT move, max(legal) AS cpl FROM m WHERE legal > 25 GROUP BY move)
+    f"""WITH {MOVES_SQL}, p AS (SELECT move, sum(cp)::BIGINT AS s FROM m GROUP BY move), c AS (SELECT move, max(legal) AS cpl FROM m WHERE legal > 25 GROUP BY move)
     SELECT p.move, p.s, c.cpl FROM p LEFT JOIN c ON p.move = c.move""",
 )
 def metric_results_join(spark, sf_dir):
