@@ -39,8 +39,10 @@ NEAREST = 15
 BLOCK = 256
 POWER = 2.0
 CUT = 0.7
-#: Words that fewer examples hold, or with weaker evidence, are not indexed.
+#: Words that fewer examples or a smaller share of either label's examples hold, or with
+#: weaker evidence, are not indexed: copies of a few texts would else make words telling.
 LEAST_EXAMPLES = 5
+LEAST_SHARE = 0.015
 EVIDENCE = 20.0
 #: Words that span the space, at most: those of the strongest evidence.
 TERMS = 300
@@ -60,7 +62,7 @@ def telling(found: list[tuple[Counter, int]]) -> set[str]:
     out = []
     for w in n[0].keys() | n[1].keys():
         a, b = n[1][w], n[0][w]
-        if a + b < LEAST_EXAMPLES:
+        if a + b < LEAST_EXAMPLES or (a < LEAST_SHARE * total[1] and b < LEAST_SHARE * total[0]):
             continue
         cells = ((a, total[1]), (b, total[0]))
         share = (a + b) / len(found)
