@@ -42,7 +42,7 @@ CUT = 0.7
 #: Words that fewer examples or a smaller share of either label's examples hold, or with
 #: weaker evidence, are not indexed: copies of a few texts would else make words telling.
 LEAST_EXAMPLES = 5
-LEAST_SHARE = 0.015
+LEAST_SHARE = 0.02
 EVIDENCE = 20.0
 #: Words that span the space, at most: those of the strongest evidence.
 TERMS = 300
