@@ -158,17 +158,31 @@ def win_category(p: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; what a lambda closes over would be
+    computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def _exps(x: Column, temperature: float) -> Column:
+    t = F.lit(float(temperature))
+    shifted = lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda v: F.exp((v - top) / t)))
+    return let(x.cast("array<double>"), shifted)
+
+
 def floored_softmax(scores: Column, legal: Column, temperature: float = 100.0, floor: float = 0.001) -> Column:
     """Softmax of an array of scores above a floor for each of ``legal`` moves; the
     legal moves without a score have the floor alone. Sums to 1 over the legal moves."""
-    s = scores.cast("array<double>")
-    top = F.array_max(s)
-    exps = F.transform(s, lambda x: F.exp((x - top) / F.lit(float(temperature))))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
     left = F.lit(1.0) - legal * F.lit(floor)
-    return F.when(legal * F.lit(floor) >= 1.0, F.transform(s, lambda x: F.lit(1.0) / legal)).otherwise(
-        F.transform(exps, lambda x: F.lit(floor) + x / total * left)
+    soft = let(
+        _exps(scores, temperature),
+        lambda e: let(left / _total(e), lambda scale: F.transform(e, lambda v: F.lit(floor) + v * scale)),
     )
+    return F.when(legal * F.lit(floor) >= 1.0, F.transform(scores, lambda x: F.lit(1.0) / legal)).otherwise(soft)
 
 
 def win_logit(p: Column) -> Column:
@@ -204,16 +218,12 @@ def kl(p: Column, q: Column) -> Column:
 
 
 def jsd(p: Column, q: Column) -> Column:
-    m = F.zip_with(p, q, lambda a, b: (a + b) / 2)
-    return (kl(p, m) + kl(q, m)) / 2
+    both = F.struct(p.alias("p"), q.alias("q"), F.zip_with(p, q, lambda a, b: (a + b) / 2).alias("m"))
+    return let(both, lambda s: (kl(s["p"], s["m"]) + kl(s["q"], s["m"])) / 2)
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
-    s = x.cast("array<double>")
-    top = F.array_max(s)
-    exps = F.transform(s, lambda v: F.exp((v - top) / F.lit(float(temperature))))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(exps, lambda v: v / total)
+    return let(_exps(x, temperature), lambda e: let(_total(e), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def phase(pieces: Column, fullmove: Column) -> Column:

@@ -263,6 +263,8 @@ def top1_agreement(spark, sf_dir):
     s = _student(spark, sf_dir)
     top = F.array_position("p", F.array_max("p")) - 1
     hit = F.element_at("p", F.col("label") + 1)
+    s = s.select("label", top.alias("top"), hit.alias("hit"))
+    top, hit = F.col("top"), F.col("hit")
     return s.groupBy("label").agg(
         F.count("*").alias("n"),
         F.round(F.avg((top == F.col("label")).cast("int")), 6).alias("top1"),
