@@ -267,7 +267,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, lists: int = LIST
     names = stash(names, "ann-queries")
     same = stash(named.join(names, ["_h", "v"]).select("query", F.col("vec_id").alias("query_id")), "ann-same")
     probe = names.select("v", "query").mapInArrow(_probes(space, probes), "list int, queries binary")
-    met = stash(probe.join(blocks, "list").select("queries", "block").mapInArrow(
+    # the planner cannot know how large the probes are, so it may not send them to all tasks
+    met = stash(probe.hint("merge").join(blocks, "list").select("queries", "block").mapInArrow(
         _search(k), "query long, vec_id long, score double"
     ), "ann-met")
     near = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
