@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of the labelled rows (``EXAMPLES`` of each label, those of least
-hash of their text) is the memory. Texts are bags of words (runs of letters, read in
-lower case) weighted by 1 + log count and inverse document frequency, the latter
-counted over all documents. Only words that go with a label among the examples (a
-likelihood-ratio statistic of at least ``EVIDENCE``) span the space, so that cosines
-compare what bears on toxicity, not topics. The memory is an inverted
+A bounded sample of the labelled texts (``EXAMPLES`` different ones of each label, those
+of least hash) is the memory. Texts are bags of words (runs of letters, read in lower
+case) weighted by 1 + log count and inverse document frequency, the latter counted
+over all documents, and by how far a word goes with a label among the examples (a
+likelihood-ratio statistic), so that cosines compare what bears on toxicity more than
+topics. All words of the examples span the space; other words of a text would shorten
+all its cosines alike, which its votes do not see. The memory is an inverted
 index whose postings stand in blocks of examples with each block's greatest weight
 per word: a text's words bound every block's cosines from above, blocks are scored
 in the order of their bounds, and the search ends when no block can reach the K-th
@@ -23,6 +24,7 @@ labelled rows at all every score is 0. Rows that repeat a doc_id each get a row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -36,16 +38,11 @@ from rookery.llm.common import stash, table, text_of, tune
 #: Examples of each label at most.
 EXAMPLES = 1500
 NEAREST = 15
-BLOCK = 256
+BLOCK = 1024
 POWER = 2.0
 CUT = 0.7
-#: Words that fewer examples or a smaller share of either label's examples hold, or with
-#: weaker evidence, are not indexed: copies of a few texts would else make words telling.
-LEAST_EXAMPLES = 5
-LEAST_SHARE = 0.02
-EVIDENCE = 20.0
-#: Words that span the space, at most: those of the strongest evidence.
-TERMS = 300
+#: Least factor of a word's weight: of words that do not go with a label.
+LEAST = 0.5
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -55,25 +52,21 @@ def bag(text: str, wanted=None) -> Counter:
     return Counter(words if wanted is None else [w for w in words if w in wanted])
 
 
-def telling(found: list[tuple[Counter, int]]) -> set[str]:
-    """Words whose presence depends on the label, by a likelihood-ratio test."""
+def leaning(found: list[tuple[Counter, int]]) -> dict[str, float]:
+    """How far each word's presence depends on the label: a likelihood-ratio statistic,
+    ``LEAST`` at least."""
     total = Counter(y for _, y in found)
     n = [Counter(w for words, y in found if y == label for w in words) for label in (0, 1)]
-    out = []
+    out = {}
     for w in n[0].keys() | n[1].keys():
-        a, b = n[1][w], n[0][w]
-        if a + b < LEAST_EXAMPLES or (a < LEAST_SHARE * total[1] and b < LEAST_SHARE * total[0]):
-            continue
-        cells = ((a, total[1]), (b, total[0]))
-        share = (a + b) / len(found)
+        share = (n[0][w] + n[1][w]) / len(found)
         g = 0.0
-        for x, t in cells:
+        for x, t in ((n[0][w], total[0]), (n[1][w], total[1])):
             for seen, expected in ((x, t * share), (t - x, t * (1 - share))):
                 if seen and expected:
-                    g += 2 * seen * np.log(seen / expected)
-        if g >= EVIDENCE:
-            out.append((-g, w))
-    return {w for _, w in sorted(out)[:TERMS]}
+                    g += 2 * seen * math.log(seen / expected)
+        out[w] = max(g, LEAST)
+    return out
 
 
 def held_out(doc_id="doc_id"):
@@ -82,15 +75,16 @@ def held_out(doc_id="doc_id"):
 
 
 def examples(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most ``each`` learnable examples of either label, drawn by a hash of the
-    text, and how many learnable rows each label has."""
+    """At most ``each`` different learnable texts of either label, drawn by a hash of the
+    text, and how many different learnable texts each label has."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.filter(~held_out())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # keys first: the texts of the examples alone leave their tasks
     keys = rows.select("doc_id", F.xxhash64("text", F.lit("example")).alias("_draw")).join(known, "doc_id")
-    keys = stash(keys, "toxic-keys")
+    keys = keys.groupBy("toxic", "_draw").agg(F.min("doc_id").alias("doc_id"))
+    keys = stash(keys.select("doc_id", "_draw", "toxic"), "toxic-keys")
     totals = {r[0]: r[1] for r in keys.groupBy("toxic").agg(F.count("*")).collect()}
     drawn = [keys.filter(F.col("toxic") == y).orderBy("_draw", "doc_id").limit(each) for y in (0, 1)]
     # at most 2 * each rows
@@ -129,39 +123,40 @@ class Memory:
         self.blocks = -(-len(found) // BLOCK) if found else 0
         self.idf = {w: float(np.log((documents + 1) / (n + 0.5))) for w, n in df.items()}
         self.number = {w: i for i, w in enumerate(self.idf)}
-        self.weight = np.array([self.idf[w] for w in self.idf])
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.number]
-        self.own = []
-        for e, (words, _) in enumerate(found):
-            ids, w = self.vector(words)
-            self.own.append((ids, w))
-            for i, x in zip(ids.tolist(), w.tolist()):
-                postings[i].append((e, x))
-        sizes = [len(p) for p in postings]
-        self.start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        self.example = np.array([e for p in postings for e, _ in p], np.int32)
-        self.value = np.array([x for p in postings for _, x in p], np.float64)
-        self.most = np.zeros((len(postings), max(self.blocks, 1)), np.float32)
-        word = np.repeat(np.arange(len(postings)), sizes)
+        lean = leaning(found)
+        self.weight = np.array([self.idf[w] * lean.get(w, LEAST) for w in self.idf])
+        self.own = [self.vector(words) for words, _ in found]
+        word = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in self.own)])
+        order = np.argsort(word, kind="stable")  # by word, then by example
+        word = word[order]
+        self.start = np.searchsorted(word, np.arange(len(self.number) + 1))
+        self.example = np.repeat(np.arange(len(found), dtype=np.int32), [len(ids) for ids, _ in self.own])[order]
+        self.value = np.concatenate([np.zeros(0), *(w for _, w in self.own)])[order]
+        self.most = np.zeros((len(self.number), max(self.blocks, 1)), np.float32)
         if len(word):
             np.maximum.at(self.most, (word, self.example // BLOCK), np.nextafter(self.value.astype(np.float32), np.float32(2)))
         # where each block's postings of a word begin, behind the word's first
         key = word * (self.blocks + 1) + self.example // BLOCK
-        grid = np.arange(len(postings))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)
-        self._cuts = np.searchsorted(key, grid) - self.start[:-1, None]
+        grid = np.arange(len(self.number))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)
+        self._cuts = (np.searchsorted(key, grid) - self.start[:-1, None]).astype(np.int32)
         self.steps, self.rates = np.zeros(0), np.zeros(0)
         if len(found):
             self._calibrate()
 
+    def __getstate__(self):
+        """Tasks do without the examples' own vectors."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("own", "idf")}
+
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights (unit length over all its known words)."""
         number = self.number
-        known = [(number[w], n) for w, n in words.items() if w in number]
+        known = {number[w]: n for w, n in words.items() if w in number}
         if not known:
             return np.zeros(0, np.int64), np.zeros(0)
-        known.sort()
-        ids = np.array([i for i, _ in known])
-        w = (1 + np.log([n for _, n in known])) * self.weight[ids]
+        ids, counts = (np.fromiter(x, np.int64, len(known)) for x in (known.keys(), known.values()))
+        order = np.argsort(ids)
+        ids = ids[order]
+        w = (1 + np.log(counts[order])) * self.weight[ids]
         length = np.sqrt((w * w).sum())
         return (ids, w / length) if length > 0 else (np.zeros(0, np.int64), np.zeros(0))
 
@@ -185,6 +180,8 @@ class Memory:
             if lo <= without < hi:
                 scores[without - lo] = 0
             some = np.flatnonzero(scores)
+            if len(some) > k:  # all that reach the block's k-th
+                some = some[scores[some] >= np.partition(scores[some], -k)[-k]]
             near, who = np.concatenate((near, scores[some])), np.concatenate((who, some + lo))
             best = np.lexsort((who, -near))[:k]
             near, who = near[best], who[best]
@@ -225,13 +222,14 @@ class Memory:
 
 
 def learn(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> Memory:
-    """The memory; the driver holds ``2 * each`` examples' words and nothing else."""
+    """The memory; the driver holds ``2 * each`` examples' words and their counts."""
     tune(docs.sparkSession)
     drawn, totals = examples(docs, labels, each)
     found = [(bag(t), y) for t, y in drawn]
-    wanted = telling(found)
+    wanted = {w for words, _ in found for w in words}
     counts = docs.select(text_of().alias("text")).mapInArrow(_frequencies(wanted), "word string, n long")
-    counts = {r[0]: r[1] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = dict(zip(counts["word"].to_pylist(), counts["n"].to_pylist()))
     documents = counts.pop(None, 0)
     return Memory(found, documents, dict(sorted(counts.items())), totals)
 

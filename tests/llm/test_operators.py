@@ -316,6 +316,26 @@ def test_op7_learns_the_lexicon(spark, none):
     assert toxicity.reject(docs, known).columns == docs.columns
 
 
+def test_op7_rare_telling_words_count(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("klmnoprst") for _ in range(5)) for _ in range(300)]
+    bad = ["".join(r.choice("uvwxyz") for _ in range(6)) for _ in range(200)]
+    texts = [[r.choice(words) for _ in range(30)] + (r.sample(bad, 4) if i % 5 == 0 else []) for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 0, 0, 0, "") for i, t in enumerate(texts)], SCHEMA)
+    known = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = [r for r in toxicity.score(docs, known).collect() if r["held_out"]]
+    toxic = [r["predicted"] for r in got if r["doc_id"] % 5 == 0]
+    clean = [r["predicted"] for r in got if r["doc_id"] % 5]
+    assert sum(toxic) > 0.7 * len(toxic) and sum(clean) < 0.05 * len(clean)
+
+
+def test_op7_copies_are_one_example(spark):
+    rows = [(i, "same text" if i < 30 else f"text number {i}", "en", "a", 0, 0, 0, "") for i in range(90)]
+    known = spark.createDataFrame([(i, 1, 1) for i in range(90)], "doc_id long, quality int, toxic int")
+    drawn, totals = toxicity.examples(spark.createDataFrame(rows, SCHEMA), known)
+    assert len({t for t, _ in drawn}) == len(drawn) == totals[1]
+
+
 def test_op7_nearest_is_exact():
     r = random.Random(4)
     words = [f"w{i}" for i in range(50)]
