@@ -20,9 +20,10 @@
   does not link elect the next one, ``ROUNDS`` times, so pairs grow with the members.
 * Classes are the connected components of the links.
 
-Null texts are empty. Texts without words are copies of each other. Rows that repeat
-a doc_id stand for one document of that id (its class has all their links). A null
-doc_id is a document of its own, ordered first. Only doc_id and text are read.
+Null texts are empty. Texts without words are copies of each other. Documents are told
+apart by a 64-bit hash of doc_id and text: rows that repeat both are one document,
+different texts under one doc_id, or under none, are documents of their own. Null
+doc_ids are ordered last. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -180,7 +181,8 @@ class Sampler:
 def _blocks(batches):
     """Documents of some megabytes at a time."""
     for b in batches:
-        ks, texts = b.column("k").to_pylist(), b.column("text").to_pylist()
+        ks = list(zip(b.column("k").to_pylist(), b.column("id").to_pylist()))
+        texts = b.column("text").to_pylist()
         i = size = 0
         for j, t in enumerate(texts):
             size += len(t)
@@ -258,12 +260,13 @@ def _sketch(weights: Weights):
             keys = _mix(keys + np.arange(BANDS).astype(_U) * _B)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ks, pa.int64()),
+                    pa.array([k for k, _ in ks], pa.int64()),
+                    pa.array([i for _, i in ks], pa.int64()),
                     *(pa.array(np.ascontiguousarray(prints[:, c]).view(np.int64)) for c in (0, 1)),
                     _lists(keys.view(np.int64)),
                     _lists(sketch.astype(np.uint32).view(np.int32)),
                 ],
-                names=["k", "p1", "p2", "bands", "sketch"],
+                names=["k", "id", "p1", "p2", "bands", "sketch"],
             )
 
     return run
@@ -311,10 +314,14 @@ def _verify(weights: Weights, threshold: float):
     return run
 
 
+def node():
+    """The key of a document; a null doc_id is not the same as any other."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.xxhash64(doc_id.isNull(), doc_id, text_of())
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k"), text_of().cast("binary").alias("text")
-    )
+    return docs.select(node().alias("k"), F.col("doc_id").cast("long").alias("id"), text_of().cast("binary").alias("text"))
 
 
 def weigh(rows: DataFrame) -> Weights:
@@ -352,13 +359,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """``k, rep, root``: each document, the copy that stands for it, and its class."""
+def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+    """``k, id, rep, root``: each row's key and doc_id, the keys of the copy that stands
+    for it and of its class."""
     tune(docs.sparkSession)
     rows = keyed(docs)
     weights = weigh(rows)
     sketches = rows.mapInArrow(
-        _sketch(weights), "k long, p1 long, p2 long, bands array<long>, sketch array<int>"
+        _sketch(weights), "k long, id long, p1 long, p2 long, bands array<long>, sketch array<int>"
     )
     sketches = stash(sketches, "near-sketches")
     copies = sketches.groupBy("p1", "p2").agg(F.min("k").alias("rep"))
@@ -374,7 +382,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS)
     drawn = reps.select("k", "sketch")
     waiting, links, seen = members, None, None
     for _ in range(rounds):
-        leaders = waiting.groupBy("band").agg(F.max(F.struct("score", -F.col("k"), "k")).getField("k").alias("lead"))
+        leaders = waiting.groupBy("band").agg(F.max(F.struct("score", "k")).getField("k").alias("lead"))
         pairs = members.join(leaders, "band").filter("k <> lead")
         pairs = pairs.select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
         if seen is not None:
@@ -399,22 +407,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS)
         waiting = stash(waiting, "near-waiting")
         if waiting.isEmpty():
             break
-    out = sketches.select("k", "p1", "p2").join(copies, ["p1", "p2"]).select("k", "rep")
+    out = sketches.select("k", "id", "p1", "p2").join(copies, ["p1", "p2"]).select("k", "id", "rep")
     if links is None:
         return out.withColumn("root", F.col("rep"))
     roots = components(links).withColumnRenamed("k", "rep")
-    return out.join(roots, "rep", "left").select("k", "rep", F.coalesce("root", "rep").alias("root"))
+    return out.join(roots, "rep", "left").select("k", "id", "rep", F.coalesce("root", "rep").alias("root"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``k, rep, root, class``: each row's doc_id, the least doc_id of its copies and of
+    its class (``NONE`` stands for null), and the key of the class."""
+    found = stash(nodes(docs, threshold), "near-nodes")
+    least = lambda c, name: found.groupBy(c).agg(F.min("id").alias(name))
+    found = found.join(least("rep", "_rep"), "rep").join(least("root", "_root"), "root")
+    id_ = lambda c: F.coalesce(c, F.lit(NONE))
+    return found.select(id_("id").alias("k"), id_("_rep").alias("rep"), id_("_root").alias("root"), F.col("root").alias("class"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document of least doc_id of each class, with all its columns."""
-    kept = classes(docs, threshold).filter("k = root").select(F.col("k").alias("_k")).distinct()
-    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)))
-    return rows.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "k")).getField("k")
+    kept = nodes(docs, threshold).groupBy("root").agg(first.alias("_k")).select("_k")
+    return docs.withColumn("_k", node()).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, class_id, copy_of``: the least doc_id of the class and of the copies."""
+    """``doc_id, class_id, copy_of``: the least doc_id of the class and of the copies.
+
+    A class without a doc_id has no class_id, and classes that different texts of one
+    doc_id lead share theirs; ``class_key`` tells all classes apart."""
     id_ = lambda c: F.when(F.col(c) != NONE, F.col(c))
     found = classes(table(spark, sf_dir, "documents"))
-    return found.select(id_("k").alias("doc_id"), id_("root").alias("class_id"), id_("rep").alias("copy_of"))
+    return found.select(id_("k").alias("doc_id"), id_("root").alias("class_id"), id_("rep").alias("copy_of"), F.col("class").alias("class_key"))

@@ -131,6 +131,19 @@ def test_op2_links(spark, docs, none, rows):
     assert kept.columns == docs.columns and kept.count() == len(set(got.values()))
 
 
+def test_op2_null_and_repeated_ids(spark):
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda: " ".join(r.choice(words) for _ in range(60))
+    texts = [say() for _ in range(12)]
+    near = " ".join(["other", *texts[11].split()[1:]])
+    pairs = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:8]] + [(8, texts[8]), (8, texts[8])]
+    pairs += [(None, texts[9]), (9, texts[9]), (7, texts[11]), (10, near)]
+    kept = near_dedup.keep_one(spark.createDataFrame([(i, t, "en", "a", 0, 0, 0, "") for i, t in pairs], SCHEMA)).collect()
+    want = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:8]] + [(8, texts[8]), (9, texts[9]), (7, texts[11])]
+    assert Counter((x["doc_id"], x["text"]) for x in kept) == Counter(want)
+
+
 def test_op2_sampling_follows_weighted_jaccard():
     r = np.random.default_rng(2)
     x = np.unique(r.integers(1, 1 << 62, 600, dtype=np.int64)).astype(np.uint64)
