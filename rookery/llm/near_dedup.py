@@ -18,6 +18,11 @@
   member, by its samples first (fewer than half agree with a probability of 1e-5 at
   0.8) and then by weighted Jaccard over the whole texts. Members that the leader
   does not link elect the next one, ``ROUNDS`` times, so pairs grow with the members.
+* Where a bucket then still holds several classes, a prefix-filter join finds the pairs
+  of different classes that are left: texts of the threshold's similarity share one of
+  their rarest shingles, of which each takes those that make up one minus the threshold
+  of its weight. What such texts all share (templates, licenses) is not among these.
+  Pairs found go the same way through samples and texts; no pair of a bucket is dropped.
 * Classes are the connected components of the links.
 
 Null texts are empty. Texts without words are copies of each other. Documents are told
@@ -30,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rookery.llm.common import stash, table, text_of, tune
@@ -293,6 +298,24 @@ def _jaccard(a, b) -> float:
     return float(both / (v.sum() + w.sum() - both))
 
 
+def _parts(weights: Weights):
+    """Every shingle of a text with its weight."""
+
+    def run(batches):
+        for b in batches:
+            ks, texts = b.column("k").to_pylist(), b.column("text").to_pylist()
+            for k, t in zip(ks, texts):
+                x, counts, _, _ = shingle_hashes([t])
+                w = weights(x, counts)
+                for i in range(0, len(x), STEP_SHINGLES):
+                    part = slice(i, i + STEP_SHINGLES)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x[part]), k)), pa.array(x[part].view(np.int64)), pa.array(w[part])], names=["k", "x", "w"]
+                    )
+
+    return run
+
+
 def _verify(weights: Weights, threshold: float):
     def run(batches):
         known: dict[int, tuple] = {}
@@ -359,6 +382,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def prefix_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Pairs of different classes that meet in a bucket and in a shingle of their prefixes."""
+    held = members.select("band", "k").join(roots, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
+    held = stash(held, "near-held")
+    mixed = held.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+    open_ = stash(held.join(mixed, "band").groupBy("k", "root").agg(F.sort_array(F.collect_list("band")).alias("bands")), "near-open")
+    # at most 10 bands a document
+    parts = texts.join(open_.select("k"), "k").select("k", "text").mapInArrow(_parts(weights), "k long, x long, w double")
+    parts = stash(parts, "near-parts")
+    often = parts.groupBy("x").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("k")
+    upto = by.orderBy("n", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = parts.join(often, "x").select("k", "x", "n", "w", F.sum("w").over(by).alias("all"), F.sum("w").over(upto).alias("upto"))
+    # a little more than the bound, against rounding
+    prefix = prefix.filter((F.col("upto") - F.col("w") <= (1 - threshold + 1e-9) * F.col("all")) & (F.col("n") > 1))
+    prefix = stash(prefix.join(open_, "k").select("k", "x", "root", "all", "bands"), "near-prefix")
+    a = prefix.select("x", F.col("k").alias("a"), F.col("root").alias("ra"), F.col("all").alias("wa"), F.col("bands").alias("ba"))
+    b = prefix.select("x", F.col("k").alias("b"), F.col("root").alias("rb"), F.col("all").alias("wb"), F.col("bands").alias("bb"))
+    slack = threshold - 1e-9
+    pairs = a.join(b, "x").filter("a < b AND ra <> rb").filter((F.col("wa") >= slack * F.col("wb")) & (F.col("wb") >= slack * F.col("wa")))
+    return stash(pairs.filter(F.arrays_overlap("ba", "bb")).select("a", "b").distinct(), "near-rest")
+
+
 def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """``k, id, rep, root``: each row's key and doc_id, the keys of the copy that stands
     for it and of its class."""
@@ -380,6 +426,19 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
     members = stash(members.join(scores, "k").select("band", "k", "score"), "near-buckets")
     texts = stash(rows.join(scores.select("k"), "k").dropDuplicates(["k"]), "near-texts")
     drawn = reps.select("k", "sketch")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        agree = F.aggregate(
+            F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x
+        )
+        likely = pairs.join(drawn.select(F.col("k").alias("a"), F.col("sketch").alias("sa")), "a")
+        likely = likely.join(drawn.select(F.col("k").alias("b"), F.col("sketch").alias("sb")), "b")
+        likely = likely.filter(agree * 2 >= BANDS * ROWS).select("a", "b")
+        likely = likely.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
+        likely = likely.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
+        found = likely.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a long, b long")
+        return stash(found, "near-found")
+
     waiting, links, seen = members, None, None
     for _ in range(rounds):
         leaders = waiting.groupBy("band").agg(F.max(F.struct("score", "k")).getField("k").alias("lead"))
@@ -391,15 +450,7 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
         if pairs.isEmpty():
             break
         seen = pairs if seen is None else seen.union(pairs)
-        agree = F.aggregate(
-            F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x
-        )
-        likely = pairs.join(drawn.select(F.col("k").alias("a"), F.col("sketch").alias("sa")), "a")
-        likely = likely.join(drawn.select(F.col("k").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = likely.filter(agree * 2 >= BANDS * ROWS).select("a", "b")
-        likely = likely.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-        likely = likely.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
-        found = stash(likely.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a long, b long"), "near-found")
+        found = verified(pairs)
         links = found if links is None else links.union(found)
         led = waiting.join(leaders, "band").filter("k <> lead")
         led = led.select("band", "k", "score", F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b"))
@@ -410,7 +461,12 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
     out = sketches.select("k", "id", "p1", "p2").join(copies, ["p1", "p2"]).select("k", "id", "rep")
     if links is None:
         return out.withColumn("root", F.col("rep"))
-    roots = components(links).withColumnRenamed("k", "rep")
+    roots = components(links)
+    rest = prefix_pairs(members, roots, texts, weights, threshold)
+    if not rest.isEmpty():
+        links = links.union(verified(rest))
+        roots = components(links)
+    roots = roots.withColumnRenamed("k", "rep")
     return out.join(roots, "rep", "left").select("k", "id", "rep", F.coalesce("root", "rep").alias("root"))
 
 

@@ -144,6 +144,25 @@ def test_op2_null_and_repeated_ids(spark):
     assert Counter((x["doc_id"], x["text"]) for x in kept) == Counter(want)
 
 
+def test_op2_hot_bucket(spark):
+    # a passage of all texts fills most samples: many pairs meet only in buckets that all share
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(5000)]
+    say = lambda n: [r.choice(words) for _ in range(n)]
+    passage, rows = say(880), []
+    for i in range(100):
+        own = say(60)
+        rows += [passage + own, passage + own[:35] + say(25)]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "a", 0, 0, 0, "") for k, t in enumerate(rows)], SCHEMA)
+    root = {x["k"]: x["root"] for x in near_dedup.classes(docs).collect()}
+    weights = near_dedup.weigh(near_dedup.keyed(docs))
+    same = lambda a, b: near_dedup.similarity(" ".join(rows[a]).encode(), " ".join(rows[b]).encode(), weights)
+    pairs = [k for k in range(0, 200, 2) if same(k, k + 1) >= 0.8]
+    assert len(pairs) > 80 and same(0, 2) < 0.75
+    assert [k for k in pairs if root[k] != root[k + 1]] == []
+    assert len(set(root.values())) >= 100
+
+
 def test_op2_sampling_follows_weighted_jaccard():
     r = np.random.default_rng(2)
     x = np.unique(r.integers(1, 1 << 62, 600, dtype=np.int64)).astype(np.uint64)
