@@ -88,6 +88,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(first[0], len(buf), dtype=np.int32)
     place -= np.repeat(first, np.diff(np.append(first, len(buf)))).astype(np.int32)
     values = _LETTER[buf[first[0] :]] * _PLACE[place & 255]
+    far = np.flatnonzero(place > 255)
+    if len(far):
+        block = place[far] >> 8
+        values[far] *= _powers(_powers(_B, 257)[256], int(block.max()) + 1)[block]
     return _mix(np.add.reduceat(values, first - first[0])), np.searchsorted(first, starts_of)
 
 

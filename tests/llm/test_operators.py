@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,10 +447,67 @@ def test_op10_base_and_distribution(spark, docs, none, rows):
     assert lm_scoring.score(none).count() == 0
 
 
-def test_op10_paths_are_prefix_free():
-    start, nodes, bits = lm_scoring.huffman([5.0, 1, 1, 2, 9, 0.5])
-    paths = {tuple(bits[start[i] : start[i + 1]]) for i in range(6)}
-    assert len(paths) == 6 and math.isclose(sum(2.0 ** -len(p) for p in paths), 1)
+def model(texts, bits=12):
+    """A small model of some texts, fitted on the first of them."""
+    raws = [t.encode() for t in texts]
+    words, counts = np.unique(lm_scoring.Tokens(raws).w, return_counts=True)
+    own = counts > 1
+    coder = lm_scoring.Coder(words[own], counts[own], int(counts[~own].sum()), np.ones(257), bits)
+    tables = np.zeros((lm_scoring.PIECES, (lm_scoring.PREDICTORS << bits + 1) // lm_scoring.PIECES), np.int32)
+    for b in lm_scoring._fill(coder)([pa.RecordBatch.from_arrays([pa.array(raws)], names=["text"])]):
+        for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
+            tables[k] = lm_scoring._arrays(blob, "<i4")[0]
+    mixer = lm_scoring.Mixer(tables.reshape(lm_scoring.PREDICTORS, 1 << bits, 2))
+    mixer.fit(lm_scoring.Units([t], coder) for t in raws[:20])
+    mixer.correct(mixer.tally(lm_scoring.Units(raws[:20], coder)))
+    return coder, mixer
+
+
+def test_op10_probabilities_sum_to_one():
+    r = random.Random(17)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(200)) + f" once{i}" for i in range(40)]
+    coder, mixer = model(texts)
+    start = " ".join(r.choice("abcdefgh") for _ in range(150)).encode()
+    known = ["a" * n for n in (1, 2, 3)] + [c * n for c in "bcdefgh" for n in (1, 2, 3)]
+    assert set(known) == {w for t in texts for w in t.split() if not w.startswith("once")}
+
+    def last(text, back):  # the probability of a unit, counted from the text's last
+        u = lm_scoring.Units([text], coder)
+        return math.exp(-mixer.costs(u)[u.count - back])
+
+    # each known word, the escape (before the letter of a new word, its end and the text's), and the end
+    total = sum(last(start + b" " + w.encode(), 2) for w in known) + last(start + b" z", 4) + last(start, 1)
+    assert math.isclose(total, 1, abs_tol=1e-4)
+    # letters: each byte that a word may hold, or the word's end
+    z = [bytes([b]) for b in range(256) if b not in b" \t\n\x0b\x0c\r" and not 65 <= b <= 90]
+    some = sum(last(start + b" qz" + b, 3) for b in z) + last(start + b" qz", 2)
+    blanks = 1 - some  # codes of bytes that no word holds
+    assert 0 <= blanks < 0.2
+
+
+def test_op10_learns():
+    r = random.Random(18)
+    pairs = [(f"left{i}", f"right{i}") for i in range(50)]
+    texts = [" ".join(w for _ in range(30) for w in r.choice(pairs)) for _ in range(120)]
+    coder, mixer = model(texts[:100], 18)
+    held = [t.encode() for t in texts[100:]]
+    scores = mixer.score(lm_scoring.Units(held, coder))
+    # a pair costs about its first word: log10 of 50, not twice as much
+    assert -1.4 * 30 * math.log10(50) < scores.mean() < -0.95 * 30 * math.log10(50)
+
+
+def test_op10_codes_are_prefix_free():
+    sizes = lm_scoring.code_lengths(np.array([5.0, 1, 1, 2, 9, 0.5]))
+    codes = {bin(c)[3:] for c in lm_scoring.canonical(sizes).tolist()}
+    assert len(codes) == 6 and math.isclose(sum(2.0**-x for x in sizes), 1)
+    assert sorted(map(len, codes)) == sorted(sizes.tolist())
+    assert not any(a != b and b.startswith(a) for a in codes for b in codes)
+
+
+def test_words_of_swapped_blocks_differ():
+    a, b = "x" * 256, "y" * 256
+    w, _ = near_dedup.word_hashes([f"{a}{b}z {b}{a}z {a}{b}z".encode()])
+    assert w[0] != w[1] and w[0] == w[2]
 
 
 def test_chunks_equal_the_tokenizer():
