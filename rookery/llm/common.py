@@ -20,17 +20,33 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def one_thread() -> None:
+    """Numpy's matrix products in this process keep to one thread: a task has one core."""
+    import ctypes
+    import glob
+    import os
+
+    import numpy as np
+
+    for path in glob.glob(f"{os.path.dirname(np.__file__)}/../numpy.libs/*openblas*"):
+        set_threads = getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None)
+        if set_threads:
+            set_threads(1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Clusters name it in ``spark.checkpoint.dir``. Only where that is unset (tests
-    on one machine) a temporary folder is made and set as the checkpoint folder.
+    Clusters name it in ``spark.checkpoint.dir``. Only where that is unset and the master
+    is this process (tests) a temporary folder is made and set as the checkpoint folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="rookery-"))
             found = sc.getCheckpointDir()
     return found.rstrip("/")

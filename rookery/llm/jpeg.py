@@ -216,6 +216,44 @@ def _packed(code: np.ndarray, size: np.ndarray, segment: np.ndarray, segments: i
     return [data[i:j].replace(b"\xff", b"\xff\x00") for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
+def _packed_bits(bits: np.ndarray, each: np.ndarray) -> list[bytes]:
+    """The same of single bits; ``each``: how many a segment has."""
+    room = -(-each // 8)
+    starts = np.concatenate(([0], np.cumsum(room)))
+    out = np.ones(int(starts[-1]) * 8, np.uint8)
+    shift = starts[:-1] * 8 - (np.cumsum(each) - each)
+    if shift.any():
+        out[np.repeat(shift, each) + np.arange(len(bits))] = bits
+    else:
+        out[: len(bits)] = bits
+    data = np.packbits(out).tobytes()
+    return [data[i:j].replace(b"\xff", b"\xff\x00") for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+@functools.lru_cache(8)
+def _literals(table: Huffman) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with their bits, and lengths, of the values from -511 to 511 without zeros before."""
+    v = np.arange(-511, 512)
+    code, length = table.codes()
+    size = _size(np.abs(v))
+    return code[size] << size.astype(_U) | _signed_bits(v, size), length[size] + size
+
+
+def _joined(code: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four items in a row (of at most 14 bits each) as one, row by row."""
+    n, w = code.shape
+    wide = -(-w // 4) * 4
+    if wide > w:
+        code = np.concatenate((code, np.zeros((n, wide - w), code.dtype)), 1)
+        bits = np.concatenate((bits, np.zeros((n, wide - w), bits.dtype)), 1)
+    out, total = code[:, 0::4].copy(), bits[:, 0::4].copy()
+    for k in (1, 2, 3):
+        out <<= bits[:, k::4].astype(_U)
+        out |= code[:, k::4]
+        total += bits[:, k::4]
+    return out, total
+
+
 def _signed_bits(v: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The format's bits of a value: itself, or its complement if negative."""
     return np.where(v >= 0, v, v + (1 << size) - 1).astype(_U)
@@ -225,7 +263,7 @@ def _encode_scan(c: np.ndarray, scan: Scan, segment: np.ndarray, part: np.ndarra
     """``c``: the blocks in scan order; segment and component of each."""
     if scan.first == 0:
         if scan.high:
-            return _packed((c[:, 0] >> scan.low & 1).astype(_U), np.ones(len(c), np.int64), segment, segments)
+            return _packed_bits((c[:, 0] >> scan.low & 1).astype(np.uint8), np.bincount(segment, minlength=segments))
         v = c[:, 0] >> scan.low
         key = segment * 8 + part
         order = np.argsort(key, kind="stable")
@@ -244,17 +282,23 @@ def _encode_scan(c: np.ndarray, scan: Scan, segment: np.ndarray, part: np.ndarra
         v = np.abs(band) >> scan.low
         np.negative(v, where=band < 0, out=v)
         used = v != 0
-        some = np.flatnonzero(used[:, 0])
-        if (used[some]).all() and not used.sum() - len(some) * w:  # full blocks and empty ones
-            row, k = np.repeat(some, w), np.tile(whole, len(some))
-            v, run = v[some].reshape(-1), np.zeros(len(row), np.int64)
-            ends = np.flatnonzero(~used[:, 0])
-        else:
-            last = np.maximum.accumulate(np.where(used, whole, -1), 1)
-            before = np.concatenate((np.full((n, 1), -1), last[:, :-1]), 1)
-            row, k = np.nonzero(used)
-            v, run = v[row, k], k - before[row, k] - 1
-            ends = np.flatnonzero(last[:, -1] < w - 1)
+        filled = used[:, 0]
+        some = np.flatnonzero(filled)
+        if np.count_nonzero(used) == len(some) * w and used[some].all() and table is SHORT_TABLE:  # full blocks and empty ones
+            literal, size = _literals(table)
+            full = v[some] + 511
+            out, bits = _joined(literal[full], size[full])
+            if len(some) < n:
+                grid, room = np.zeros((n, out.shape[1]), _U), np.zeros((n, out.shape[1]), np.int64)
+                grid[some], room[some] = out, bits
+                grid[~filled, 0], room[~filled, 0] = code[0], length[0]
+                out, bits = grid, room
+            return _packed(out.reshape(-1), bits.reshape(-1), np.repeat(segment, out.shape[1]), segments)
+        last = np.maximum.accumulate(np.where(used, whole, -1), 1)
+        before = np.concatenate((np.full((n, 1), -1), last[:, :-1]), 1)
+        row, k = np.nonzero(used)
+        v, run = v[row, k], k - before[row, k] - 1
+        ends = np.flatnonzero(last[:, -1] < w - 1)
         size = _size(np.abs(v))
         symbol = (run & 15) << 4 | size
         out, bits = code[symbol] << size.astype(_U) | _signed_bits(v, size), length[symbol] + size
@@ -270,6 +314,16 @@ def _encode_scan(c: np.ndarray, scan: Scan, segment: np.ndarray, part: np.ndarra
             key, out, bits = key[order], out[order], bits[order]
         return _packed(out, bits, segment[key >> 6], segments)
     size = np.abs(band) >> scan.low
+    filled = size[:, 0] > 1
+    some = np.flatnonzero(filled)
+    if np.count_nonzero(size) == len(some) * w and (size[some] > 1).all():  # each block ends its band, before bits or none
+        end = [int(code[0]) >> i & 1 for i in range(int(length[0]) - 1, -1, -1)]
+        bits = np.empty((n, w + len(end)), np.uint8)
+        bits[:, : len(end)], bits[:, len(end) :] = end, size & 1
+        each = np.bincount(segment, np.where(filled, w, 0) + len(end), segments).astype(np.int64)
+        if len(some) < n:
+            bits = bits[(np.arange(w + len(end)) < len(end)) | filled[:, None]]
+        return _packed_bits(bits.reshape(-1), each)
     old, fresh = size > 1, size == 1
     seen = np.cumsum(fresh, 1) - fresh  # fresh ones before each
     row, k = np.nonzero(old)

@@ -10,8 +10,9 @@ coefficient arrays, which give the payload back exactly, and inverse-transforms
 into full-resolution RGB tensors, of which the features are taken.
 
 Null texts are empty; an empty text is one block of zero bytes. Rows that repeat a
-doc_id each get a row. Texts of more than some ten megabytes exceed the format's
-greatest height and raise an error.
+doc_id each get a row. Very long texts make wider images: the format's greatest, of
+4,095 x 4,095 MCUs, holds 6.4 GB, more than a value of Spark's can. Only doc_id and
+text are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.llm import jpeg
-from rookery.llm.common import stash, table, text_of, tune
+from rookery.llm.common import one_thread, stash, table, text_of, tune
 
 UNIT = 64
-#: MCUs in a row of an image, at most.
-ROW = 64
+#: MCUs in a row of an image, unless it would be higher than the format allows, and
+#: the format's most (of 16 samples, in 65,535).
+ROW, MOST = 64, 4095
 _PARTS = (jpeg.Part(2, 2, 0), jpeg.Part(1, 1, 0), jpeg.Part(1, 1, 0))
 
 #: Bytes in the order of their coefficients' size; the others follow in byte order.
@@ -67,10 +69,8 @@ def frame_of(blocks: int) -> jpeg.Frame:
     """The image that holds so many blocks."""
     if blocks not in _FRAMES:
         mcus = -(-blocks // 6)
-        cols = min(mcus, ROW)
+        cols = min(mcus, max(ROW, -(-mcus // MOST)))
         rows = -(-mcus // cols)
-        if rows * 16 > 65_500:
-            raise ValueError("a payload exceeds the greatest image")
         if len(_FRAMES) > 4096:
             _FRAMES.clear()
         _FRAMES[blocks] = jpeg.frame(cols * 16, rows * 16, _PARTS)
@@ -138,6 +138,7 @@ def _store(batches):
 
 
 def _read(batches):
+    one_thread()
     for b in batches:
         ids, sizes, media = (b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))
         for i, j in _portions(media):
@@ -158,6 +159,7 @@ def _read(batches):
 
 
 def _tensors(batches):
+    one_thread()
     for b in batches:
         ids, media = b.column("doc_id").to_pylist(), b.column("media").to_pylist()
         for i, j in _portions(media, 1 << 18):
