@@ -6,13 +6,14 @@ case) weighted by 1 + log count and inverse document frequency, the latter count
 over all documents, and by how far a word goes with a label among the examples (a
 likelihood-ratio statistic), so that cosines compare what bears on toxicity more than
 topics. All words of the examples span the space; other words of a text would shorten
-all its cosines alike, which its votes do not see. The memory is an inverted
-index whose postings stand in blocks of examples with each block's greatest weight
-per word: a text's words bound every block's cosines from above, blocks are scored
-in the order of their bounds, and the search ends when no block can reach the K-th
-best, so the K nearest are exact. Their votes, weighted by cosine to a power, make a
-raw score; a monotone map fitted on the examples themselves (each scored without
-itself) turns it into the rate of label 1.
+all its cosines alike, which its votes do not see. The memory is an inverted index with
+each word's greatest weight in every block of examples. The postings of a text's words
+that matter most are added up first; what the others can add to any example of a block
+is bounded by the block's greatest weights, blocks and examples that cannot reach the
+K-th best so far are left out, and the rest are scored in full, so the K nearest are
+exact. Their votes, weighted by cosine to a power, make a raw score; a monotone map
+fitted on the examples themselves (each scored without itself) turns it into the rate of
+label 1. The evidence is the doc_ids of the nearest.
 
 Learning uses only labelled rows whose crc32 of the doc_id as text is not 1 modulo
 3. Labels, lang, source and doc_id are never inputs of a score. Null and empty texts
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ from rookery.llm.common import stash, table, text_of, tune
 #: Examples of each label at most.
 EXAMPLES = 1500
 NEAREST = 15
-BLOCK = 1024
+BLOCK = 128
+#: Share of a text's bounds that is left to the second step.
+REST = 0.02
 POWER = 2.0
 CUT = 0.7
 #: Least factor of a word's weight: of words that do not go with a label.
@@ -47,9 +51,17 @@ LEAST = 0.5
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def bag(text: str, wanted=None) -> Counter:
-    words = _WORDS(text.lower())
-    return Counter(words if wanted is None else [w for w in words if w in wanted])
+def bag(text: str) -> Counter:
+    return Counter(_WORDS(text.lower()))
+
+
+def numbers(text: str, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a text's known words, in order, and how often each comes."""
+    words = bag(text)
+    ids = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+    counts = np.fromiter(words.values(), np.int64, len(words))
+    order = np.argsort(ids)[np.count_nonzero(ids < 0) :]
+    return ids[order], counts[order]
 
 
 def leaning(found: list[tuple[Counter, int]]) -> dict[str, float]:
@@ -74,9 +86,9 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def examples(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most ``each`` different learnable texts of either label, drawn by a hash of the
-    text, and how many different learnable texts each label has."""
+def examples(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
+    """At most ``each`` different learnable texts of either label with their least doc_id,
+    drawn by a hash of the text, and how many different learnable texts each label has."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.filter(~held_out())
@@ -89,21 +101,24 @@ def examples(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> tuple[
     drawn = [keys.filter(F.col("toxic") == y).orderBy("_draw", "doc_id").limit(each) for y in (0, 1)]
     # at most 2 * each rows
     drawn = stash(drawn[0].union(drawn[1]), "toxic-drawn")
-    rows = rows.join(F.broadcast(drawn.dropDuplicates(["doc_id"])), "doc_id").dropDuplicates(["doc_id"])
-    out = rows.orderBy("toxic", "_draw", "doc_id").select("text", "toxic").collect()
-    return [(r[0], r[1]) for r in out], totals
+    drawn = F.broadcast(drawn.withColumnRenamed("_draw", "_is"))
+    # a doc_id may come with other texts too
+    rows = rows.join(drawn, "doc_id").filter(F.xxhash64("text", F.lit("example")) == F.col("_is"))
+    out = rows.dropDuplicates(["doc_id", "_is"]).orderBy("toxic", "_is", "doc_id").select("text", "toxic", "doc_id").collect()
+    return [tuple(r) for r in out], totals
 
 
-def _frequencies(wanted: set[str]):
+def _frequencies(words: list[str]):
     def run(batches):
-        n, total = Counter(), 0
+        number = {w: i for i, w in enumerate(words)}
+        n, total = np.zeros(len(words), np.int64), 0
         for b in batches:
             for t in b.column("text").to_pylist():
-                n.update(wanted.intersection(_WORDS(t.lower())))
+                n[numbers(t, number)[0]] += 1
                 total += 1
-        words = list(n)
+        seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *words], pa.string()), pa.array([total, *(n[w] for w in words)], pa.int64())],
+            [pa.array([None, *(words[i] for i in seen.tolist())], pa.string()), pa.array([total, *n[seen].tolist()], pa.int64())],
             names=["word", "n"],
         )
 
@@ -113,10 +128,19 @@ def _frequencies(wanted: set[str]):
 class Memory:
     """The index over the examples, with its own calibration."""
 
-    def __init__(self, found: list[tuple[Counter, int]], documents: int, df: dict[str, int], totals: dict[int, int]):
+    def __init__(
+        self,
+        found: list[tuple[Counter, int]],
+        documents: int,
+        df: dict[str, int],
+        totals: dict[int, int],
+        ids: list[int] | None = None,
+    ):
         # examples that share their rarest words stand together: tighter block bounds
         rare = [min(((df.get(w, 0), w) for w in words if w in df), default=(0, "")) for words, _ in found]
-        found = [found[i] for i in sorted(range(len(found)), key=lambda i: (rare[i], found[i][1], i))]
+        order = sorted(range(len(found)), key=lambda i: (rare[i], found[i][1], i))
+        found = [found[i] for i in order]
+        self.ids = np.array(order if ids is None else [ids[i] for i in order], np.int64)
         self.labels = np.array([y for _, y in found], np.float64)
         drawn = Counter(y for _, y in found)
         self.share = np.array([totals.get(y, 0) / drawn[y] for _, y in found])
@@ -135,10 +159,13 @@ class Memory:
         self.most = np.zeros((len(self.number), max(self.blocks, 1)), np.float32)
         if len(word):
             np.maximum.at(self.most, (word, self.example // BLOCK), np.nextafter(self.value.astype(np.float32), np.float32(2)))
-        # where each block's postings of a word begin, behind the word's first
-        key = word * (self.blocks + 1) + self.example // BLOCK
-        grid = np.arange(len(self.number))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)
-        self._cuts = (np.searchsorted(key, grid) - self.start[:-1, None]).astype(np.int32)
+        self.peak = self.most.max(1)
+        # the examples' vectors, one behind the other
+        self.sizes = np.array([len(ids) for ids, _ in self.own], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in self.own)]).astype(np.int32)
+        self.values = np.concatenate([np.zeros(0), *(w for _, w in self.own)])
+        self._text = np.zeros(len(self.number))
         self.steps, self.rates = np.zeros(0), np.zeros(0)
         if len(found):
             self._calibrate()
@@ -150,13 +177,11 @@ class Memory:
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights (unit length over all its known words)."""
         number = self.number
-        known = {number[w]: n for w, n in words.items() if w in number}
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, counts = (np.fromiter(x, np.int64, len(known)) for x in (known.keys(), known.values()))
-        order = np.argsort(ids)
-        ids = ids[order]
-        w = (1 + np.log(counts[order])) * self.weight[ids]
+        known = sorted((number[w], n) for w, n in words.items() if w in number)
+        return self.unit(*np.array(known, np.int64).reshape(-1, 2).T)
+
+    def unit(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[ids]
         length = np.sqrt((w * w).sum())
         return (ids, w / length) if length > 0 else (np.zeros(0, np.int64), np.zeros(0))
 
@@ -164,28 +189,37 @@ class Memory:
         """The k examples of greatest cosine over 0, best first, ties to the first."""
         if not len(ids):
             return []
-        bound = w.astype(np.float32) @ self.most[ids]
-        begin = self.start[ids]
-        order = np.argsort(-bound, kind="stable").tolist()
-        near, who = np.zeros(0), np.zeros(0, np.int64)
-        for b in order:
-            if bound[b] <= 0 or (len(near) >= k and bound[b] * 1.0001 < near[k - 1]):
-                break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.labels))
-            i, j = begin + self._cuts[ids, b], begin + self._cuts[ids, b + 1]
-            sizes = j - i
-            total = int(sizes.sum())
-            at = np.repeat(i - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-            scores = np.bincount(self.example[at] - lo, self.value[at] * np.repeat(w, sizes), hi - lo)
-            if lo <= without < hi:
-                scores[without - lo] = 0
-            some = np.flatnonzero(scores)
-            if len(some) > k:  # all that reach the block's k-th
-                some = some[scores[some] >= np.partition(scores[some], -k)[-k]]
-            near, who = np.concatenate((near, scores[some])), np.concatenate((who, some + lo))
-            best = np.lexsort((who, -near))[:k]
-            near, who = near[best], who[best]
-        return list(zip(near.tolist(), who.tolist()))
+        bound = w * self.peak[ids]
+        begin, end = self.start[ids], self.start[ids + 1]
+        # words whose postings are many for what they can add wait
+        order = np.argsort(bound / (end - begin))
+        wait = np.cumsum(bound[order]) <= REST * bound.sum()
+        later, now = order[wait], order[~wait]
+        at, sizes = begin[now], end[now] - begin[now]
+        at = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        part = np.bincount(self.example[at], self.value[at] * np.repeat(w[now], sizes), len(self.labels))
+        if without >= 0:
+            part[without] = -2.0
+        reach = part
+        if len(later):
+            reach = part + np.repeat(w[later].astype(np.float32) @ self.most[ids[later]], BLOCK)[: len(part)]
+        least = np.partition(part, -k)[-k] if k < len(part) else 0.0
+        some = np.flatnonzero((reach > 0) & (reach >= least * (1 - 1e-5) - 1e-6))
+        some = some[self.sizes[some] > 0]
+        if not len(some):
+            return []
+        if len(later):  # in full
+            sizes = self.sizes[some]
+            first = np.cumsum(sizes) - sizes
+            at = np.repeat(self.first[some] - first, sizes) + np.arange(int(sizes.sum()))
+            self._text[ids] = w
+            scores = np.add.reduceat(self._text[self.words[at]] * self.values[at], first)
+            self._text[ids] = 0
+        else:
+            scores = part[some]
+        best = np.lexsort((some, -scores))[:k]
+        best = best[scores[best] > 0]
+        return list(zip(scores[best].tolist(), some[best].tolist()))
 
     def raw(self, found: list[tuple[float, int]]) -> float:
         """Votes for label 1, weighted by cosine."""
@@ -214,10 +248,10 @@ class Memory:
         self.rates = np.array([(p[1] + 0.05) / (p[2] + 0.1) for p in pools])
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        """The calibrated score and its evidence."""
+        """The calibrated score and its evidence, examples by number."""
         if not len(self.labels):
             return 0.0, []
-        found = self.nearest(*self.vector(bag(text, self.number)))
+        found = self.nearest(*self.unit(*numbers(text, self.number)))
         return float(np.clip(np.interp(self.raw(found), self.steps, self.rates), 0, 1)), found
 
 
@@ -225,13 +259,13 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> Memory:
     """The memory; the driver holds ``2 * each`` examples' words and their counts."""
     tune(docs.sparkSession)
     drawn, totals = examples(docs, labels, each)
-    found = [(bag(t), y) for t, y in drawn]
-    wanted = {w for words, _ in found for w in words}
+    found = [(bag(t), y) for t, y, _ in drawn]
+    wanted = sorted({w for words, _ in found for w in words})
     counts = docs.select(text_of().alias("text")).mapInArrow(_frequencies(wanted), "word string, n long")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     counts = dict(zip(counts["word"].to_pylist(), counts["n"].to_pylist()))
     documents = counts.pop(None, 0)
-    return Memory(found, documents, dict(sorted(counts.items())), totals)
+    return Memory(found, documents, dict(sorted(counts.items())), totals, [d for _, _, d in drawn])
 
 
 def _score(memory: Memory):
@@ -241,9 +275,9 @@ def _score(memory: Memory):
             for t in b.column("text").to_pylist():
                 s, found = memory.score(t)
                 scores.append(s)
-                nearest.append([e for _, e in found[:3]])
+                nearest.append([int(memory.ids[e]) for _, e in found[:3]])
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in b.schema.names if c != "text"), pa.array(scores), pa.array(nearest, pa.list_(pa.int32()))],
+                [*(b.column(c) for c in b.schema.names if c != "text"), pa.array(scores), pa.array(nearest, pa.list_(pa.int64()))],
                 names=[*(c for c in b.schema.names if c != "text"), "score", "evidence"],
             )
 
@@ -252,10 +286,10 @@ def _score(memory: Memory):
 
 def score(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` of each document; evidence are
-    the numbers of its nearest examples."""
+    the doc_ids of its nearest examples."""
     memory = learn(docs, labels, each)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
-    rows = rows.mapInArrow(_score(memory), "doc_id long, held_out boolean, score double, evidence array<int>")
+    rows = rows.mapInArrow(_score(memory), "doc_id long, held_out boolean, score double, evidence array<long>")
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence")
 
 

@@ -366,7 +366,7 @@ def test_op7_copies_are_one_example(spark):
     rows = [(i, "same text" if i < 30 else f"text number {i}", "en", "a", 0, 0, 0, "") for i in range(90)]
     known = spark.createDataFrame([(i, 1, 1) for i in range(90)], "doc_id long, quality int, toxic int")
     drawn, totals = toxicity.examples(spark.createDataFrame(rows, SCHEMA), known)
-    assert len({t for t, _ in drawn}) == len(drawn) == totals[1]
+    assert len({t for t, _, _ in drawn}) == len(drawn) == totals[1]
 
 
 def test_op7_nearest_is_exact():
