@@ -101,21 +101,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as the mix takes it whole, and where
     the budget ends within one, that document's first words, joined by blanks. All
-    columns stay; ``n_chars``, if there, follows the text."""
-    plan = mix(docs, **options).filter("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    columns stay, whatever their names; ``n_chars``, if there, follows the text. Rows that
+    share doc_id, source and size get their shares in the order of their texts' hashes."""
+    alike = ["id", "from", "size"]
+    plan = mix(docs, **options).select(F.col("doc_id").alias("id"), F.col("source").alias("from"), "size", "taken")
+    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.desc("taken")))).filter("taken > 0")
+    plan = plan.select(*(F.col(c).alias(f"{c}_") for c in (*alike, "nth")), "taken")
     words = F.lit(r"[^\x20\x09-\x0D]+")
-    rows = docs.withColumn("_own", F.regexp_count(text_of(), words).cast("long"))
-    rows = rows.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
-    left = F.col("_taken") % F.col("_size")
-    whole = F.array_repeat(F.lit(False), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.col("source").cast("string").alias("from"),
+        F.regexp_count(text_of(), words).cast("long").alias("size"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
+    order = Window.partitionBy(*alike).orderBy(F.xxhash64(F.col("row").getField("text")))
+    rows = rows.filter("size > 0").withColumn("nth", F.row_number().over(order))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("id", "from")] + [F.col(c) == F.col(f"{c}_") for c in ("size", "nth")]
+    rows = rows.join(plan, same[0] & same[1] & same[2] & same[3])
+    left = F.col("taken") % F.col("size")
+    whole = F.array_repeat(F.lit(False), F.floor(F.col("taken") / F.col("size")).cast("int"))
     parts = F.concat(whole, F.when(left > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    rows = rows.withColumn("_cut", F.explode(parts))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", words, F.lit(0)), F.lit(1), left.cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_cut"), first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    rows = rows.select("row", left.cast("int").alias("left"), F.explode(parts).alias("cut"))
+    text = F.col("row").getField("text")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, words, F.lit(0)), F.lit(1), F.col("left")), " ")
+    rows = rows.select("row", F.when(F.col("cut"), first).otherwise(text).alias("text"))
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@
 Null texts are empty. Texts without words are copies of each other. Documents are told
 apart by a 64-bit hash of doc_id and text: rows that repeat both are one document,
 different texts under one doc_id, or under none, are documents of their own. Null
-doc_ids are ordered last. Only doc_id and text are read.
+doc_ids are ordered last. Only doc_id and text are read; other columns may have any
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ ROUNDS = 3
 #: Shingles of one block of the first counting pass, and of one sampling step.
 BLOCK_SHINGLES = 1 << 21
 STEP_SHINGLES = 1 << 16
-NONE = -(1 << 63)
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -386,12 +386,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def prefix_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """Pairs of different classes that meet in a bucket and in a shingle of their prefixes."""
+def agreeing(a: str, b: str):
+    """Whether at least half of two sketches' samples agree."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return same * 2 >= BANDS * ROWS
+
+
+def prefix_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, drawn: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Pairs of different classes that meet in a bucket and in a shingle of their prefixes,
+    whose samples agree, and for which that shingle, were it the first that they share,
+    and all behind it could make up the threshold's overlap."""
     held = members.select("band", "k").join(roots, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
     held = stash(held, "near-held")
     mixed = held.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
-    open_ = stash(held.join(mixed, "band").groupBy("k", "root").agg(F.sort_array(F.collect_list("band")).alias("bands")), "near-open")
+    open_ = held.join(mixed, "band").groupBy("k", "root").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    open_ = stash(open_.join(drawn, "k"), "near-open")
     # at most 10 bands a document
     parts = texts.join(open_.select("k"), "k").select("k", "text").mapInArrow(_parts(weights), "k long, x long, w double")
     parts = stash(parts, "near-parts")
@@ -401,12 +410,19 @@ def prefix_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, weights
     prefix = parts.join(often, "x").select("k", "x", "n", "w", F.sum("w").over(by).alias("all"), F.sum("w").over(upto).alias("upto"))
     # a little more than the bound, against rounding
     prefix = prefix.filter((F.col("upto") - F.col("w") <= (1 - threshold + 1e-9) * F.col("all")) & (F.col("n") > 1))
-    prefix = stash(prefix.join(open_, "k").select("k", "x", "root", "all", "bands"), "near-prefix")
-    a = prefix.select("x", F.col("k").alias("a"), F.col("root").alias("ra"), F.col("all").alias("wa"), F.col("bands").alias("ba"))
-    b = prefix.select("x", F.col("k").alias("b"), F.col("root").alias("rb"), F.col("all").alias("wb"), F.col("bands").alias("bb"))
+    prefix = prefix.select("k", "x", "w", "all", (F.col("all") - F.col("upto")).alias("rest"))
+    prefix = stash(prefix.join(open_, "k"), "near-prefix")
+    side = lambda c: prefix.select("x", *(F.col(n).alias(f"{n}_{c}") for n in ("k", "root", "w", "all", "rest", "bands", "sketch")))
     slack = threshold - 1e-9
-    pairs = a.join(b, "x").filter("a < b AND ra <> rb").filter((F.col("wa") >= slack * F.col("wb")) & (F.col("wb") >= slack * F.col("wa")))
-    return stash(pairs.filter(F.arrays_overlap("ba", "bb")).select("a", "b").distinct(), "near-rest")
+    met = (
+        (F.col("k_a") < F.col("k_b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & (F.least("w_a", "w_b") + F.least("rest_a", "rest_b") >= slack / (1 + slack) * (F.col("all_a") + F.col("all_b")))
+        & agreeing("sketch_a", "sketch_b")
+        & F.arrays_overlap("bands_a", "bands_b")
+    )
+    pairs = side("a").join(side("b"), "x").filter(met)
+    return stash(pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct(), "near-rest")
 
 
 def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
@@ -432,12 +448,9 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
     drawn = reps.select("k", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        agree = F.aggregate(
-            F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x
-        )
         likely = pairs.join(drawn.select(F.col("k").alias("a"), F.col("sketch").alias("sa")), "a")
         likely = likely.join(drawn.select(F.col("k").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = likely.filter(agree * 2 >= BANDS * ROWS).select("a", "b")
+        likely = likely.filter(agreeing("sa", "sb")).select("a", "b")
         likely = likely.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
         likely = likely.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
         found = likely.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a long, b long")
@@ -466,7 +479,7 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
     if links is None:
         return out.withColumn("root", F.col("rep"))
     roots = components(links)
-    rest = prefix_pairs(members, roots, texts, weights, threshold)
+    rest = prefix_pairs(members, roots, texts, drawn, weights, threshold)
     if not rest.isEmpty():
         links = links.union(verified(rest))
         roots = components(links)
@@ -476,19 +489,20 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``k, rep, root, class``: each row's doc_id, the least doc_id of its copies and of
-    its class (``NONE`` stands for null), and the key of the class."""
+    its class (null if none has one), and the key of the class."""
     found = stash(nodes(docs, threshold), "near-nodes")
     least = lambda c, name: found.groupBy(c).agg(F.min("id").alias(name))
     found = found.join(least("rep", "_rep"), "rep").join(least("root", "_root"), "root")
-    id_ = lambda c: F.coalesce(c, F.lit(NONE))
-    return found.select(id_("id").alias("k"), id_("_rep").alias("rep"), id_("_root").alias("root"), F.col("root").alias("class"))
+    return found.select(F.col("id").alias("k"), F.col("_rep").alias("rep"), F.col("_root").alias("root"), F.col("root").alias("class"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document of least doc_id of each class, with all its columns."""
     first = F.min(F.struct(F.col("id").isNull(), "id", "k")).getField("k")
-    kept = nodes(docs, threshold).groupBy("root").agg(first.alias("_k")).select("_k")
-    return docs.withColumn("_k", node()).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    kept = nodes(docs, threshold).groupBy("root").agg(first.alias("node")).select("node")
+    rows = docs.select(node().alias("node"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.join(kept, "node", "left_semi").dropDuplicates(["node"])
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,6 +510,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A class without a doc_id has no class_id, and classes that different texts of one
     doc_id lead share theirs; ``class_key`` tells all classes apart."""
-    id_ = lambda c: F.when(F.col(c) != NONE, F.col(c))
     found = classes(table(spark, sf_dir, "documents"))
-    return found.select(id_("k").alias("doc_id"), id_("root").alias("class_id"), id_("rep").alias("copy_of"), F.col("class").alias("class_key"))
+    return found.select(F.col("k").alias("doc_id"), F.col("root").alias("class_id"), F.col("rep").alias("copy_of"), F.col("class").alias("class_key"))

@@ -1,13 +1,15 @@
 """Shards by fixed virtual slots.
 
-Every record hashes into one of a fixed number of slots; bytes and rows are summed
-per slot, and a versioned map from slots to shards is written. Records never move
-between slots: rebalancing edits the map. The first version gives the fullest slot
-not yet placed to the shard with the fewest bytes; later versions move as few slots
-as bring the shards level.
-
-Null texts count no bytes. Rows that repeat a doc_id share its slot and each get a
-place of their own. An empty table gives no rows.
+Every record hashes into one of a fixed number of slots, by its text, so equal texts
+stay together; a group of equal texts of more than ``SPLIT`` of a mean shard is split by
+doc_id, and the map names it. Bytes and rows are summed per slot, and a versioned map
+from slots to shards is written. Records do not move between slots: rebalancing edits
+the map. The first version gives the fullest slot not yet placed to the shard with the
+fewest bytes; later versions move as few slots as bring the shards level.
+
+Null texts are empty and count no bytes. Rows that repeat a doc_id each get a place of
+their own. Only doc_id and text are read. An empty table gives no rows. A version that
+is written again replaces itself.
 """
 
 from __future__ import annotations
@@ -23,19 +25,28 @@ SLOTS = 8192
 SHARDS = 40
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
+#: Share of a mean shard that a group of equal texts may have to stay together.
+SPLIT = 1 / 8
 
 
-def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot``, reading each text once."""
+def records(docs: DataFrame) -> DataFrame:
+    """``doc_id, size, text_crc32, text_hash``, reading each text once."""
     text = text_of()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("slot")), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64(text).alias("text_hash"),
     )
 
 
+def large_groups(rows: DataFrame, shards: int) -> list[int]:
+    """Hashes of the texts whose copies are to be split: ``shards / SPLIT`` at most."""
+    groups = rows.groupBy("text_hash").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    return sorted(r[0] for r in groups.filter((F.col("n") > 1) & (F.col("b") > total / shards * SPLIT)).select("text_hash").collect())
+
+
 def first_map(slot_bytes: dict[int, int], shards: int, slots: int) -> dict[int, int]:
     """Fullest slot first, each to the shard with the fewest bytes so far."""
     heap = [(0, s) for s in range(shards)]
@@ -53,10 +64,14 @@ def rebalance(placed: dict[int, int], slot_bytes: dict[int, int], shards: int, s
     within ``slack`` of the mean or no move helps. Other slots stay."""
     held = [0] * shards
     members: list[list[int]] = [[] for _ in range(shards)]
-    for slot, shard in placed.items():
-        held[shard] += slot_bytes.get(slot, 0)
-        members[shard].append(slot)
-    mean, out = sum(held) / shards, dict(placed)
+    out = dict(placed)
+    # slots of shards that are no more go to the emptiest ones, behind the others
+    for slot in sorted(placed, key=lambda s: (placed[s] >= shards, -slot_bytes.get(s, 0), s)):
+        if out[slot] >= shards:
+            out[slot] = min(range(shards), key=held.__getitem__)
+        held[out[slot]] += slot_bytes.get(slot, 0)
+        members[out[slot]].append(slot)
+    mean = sum(held) / shards
     while True:
         top, low = max(range(shards), key=held.__getitem__), min(range(shards), key=held.__getitem__)
         gap = held[top] - held[low]
@@ -73,33 +88,48 @@ def rebalance(placed: dict[int, int], slot_bytes: dict[int, int], shards: int, s
         out[slot] = low
 
 
+MAP_SCHEMA = "virtual_slot int, shard int, first long, bytes long, split array<long>"
+
+
+def read_map(spark: SparkSession, path: str, version: int) -> tuple[dict[int, int], list[int]]:
+    """Slots' shards and the split groups of a version, of which there are few."""
+    rows = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}").collect()
+    return {r["virtual_slot"]: r["shard"] for r in rows}, sorted({h for r in rows for h in r["split"]})
+
+
 def shard(
     docs: DataFrame,
     shards: int = SHARDS,
     slots: int = SLOTS,
     map_path: str | None = None,
     previous: dict[int, int] | None = None,
+    split: list[int] | None = None,
     version: int = 1,
 ) -> DataFrame:
     """Place all documents; the slot map goes to ``map_path`` as version ``version``.
 
-    The driver sees one row per slot, of which there are at most ``slots``. A place
-    within a shard is the rows of the shard's slots before the record's own plus the
-    record's place in its slot, so no task orders a whole shard.
+    ``previous`` and ``split`` are those of the version before (``read_map``). The driver
+    sees one row per slot, of which there are at most ``slots``. A place within a shard is
+    the rows of the shard's slots before the record's own plus the record's place in its
+    slot, so no task orders a whole shard.
     """
     spark = docs.sparkSession
-    rows = stash(records(docs, slots), "shard-records")
+    rows = stash(records(docs), "shard-records")
+    split = large_groups(rows, shards) if split is None else split
+    by_id = F.xxhash64("doc_id", "text_hash", F.lit("slot"))
+    by_text = F.xxhash64("text_hash", F.lit("slot"))
+    key = F.when(F.col("text_hash").isin(split), by_id).otherwise(by_text) if split else by_text
+    rows = rows.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int"))
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     slot_bytes, slot_rows = {r[0]: r[1] for r in sums}, {r[0]: r[2] for r in sums}
     placed = rebalance(previous, slot_bytes, shards) if previous else first_map(slot_bytes, shards, slots)
     at, entries = [0] * shards, []
     for slot in range(slots):
-        entries.append((version, slot, placed[slot], at[placed[slot]], slot_bytes.get(slot, 0)))
+        entries.append((slot, placed[slot], at[placed[slot]], slot_bytes.get(slot, 0), [] if slot else split))
         at[placed[slot]] += slot_rows.get(slot, 0)
-    path = map_path or shared_path(spark, "slot-map")
-    schema = "version int, virtual_slot int, shard int, first long, bytes long"
-    spark.createDataFrame(entries, schema).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
-    slot_map = spark.read.schema(schema).parquet(path).filter(F.col("version") == version)
+    path = f"{map_path or shared_path(spark, 'slot-map')}/version={version}"
+    spark.createDataFrame(entries, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    slot_map = spark.read.schema(MAP_SCHEMA).parquet(path).select("virtual_slot", "shard", "first")
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     # at most `slots` rows
     joined = rows.withColumn("_place", place - 1).join(F.broadcast(slot_map), "virtual_slot")

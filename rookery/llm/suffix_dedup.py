@@ -11,8 +11,8 @@ a document before or in the same one. The steps:
 2. *Runs.* A task sorts the suffixes of some megabytes of text by their first 32
    bytes and then a fingerprint of all that the anchor's windows cover. Suffixes
    equal in both are a class; all but a run's first are repeats and stay behind.
-   The others leave as a front-coded run, cut at splitters drawn from a sample of
-   the documents (the sample decides the balance of the tasks, nothing else).
+   The others leave as a front-coded run, cut at splitters drawn from the anchors of
+   sampled slices of text (the sample decides the balance of the tasks, nothing else).
 3. *Merge.* Each range merges its runs with a loser tree that keeps, with every
    loser, how many bytes it shares with the winner that beat it. Different counts
    decide a match without a look at the strings; equal ones compare from there on.
@@ -27,7 +27,8 @@ third of all documents hold neither fills a task nor makes pairs.
 
 Null texts are empty. Documents are ordered by doc_id (null first), then by a hash
 of the text; rows equal in both are one document, and each gets its result. Texts
-shorter than ``length`` lose nothing. Only doc_id and text are read.
+shorter than ``length`` lose nothing. Only doc_id and text are read; other columns may
+have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from rookery.llm.common import stash, table, text_of, tune
 
@@ -49,8 +51,12 @@ WIDTH = PREFIX + 8
 RUN_BYTES = 12 << 20
 #: Text per range of the merge.
 RANGE_BYTES = 12 << 20
-#: Suffixes that the splitters are drawn from, about.
-SAMPLE = 20_000
+#: Ranges at most, whose splitters all tasks hold; beyond that ranges grow.
+MOST_RANGES = 1 << 18
+#: Suffixes drawn for a range (and for all of them at least), about; of a slice of so
+#: many bytes one in so many is drawn.
+DRAWN, LEAST_DRAWN = 20, 4000
+SLICE, ONE_IN = 4096, 8
 #: Bytes hashed at once, to stay in the processor's cache.
 BLOCK = 1 << 18
 
@@ -458,17 +464,36 @@ def _settle(runs, low: bytes | None, high: bytes | None, length: int):
 
 def _sample(length: int):
     def run(batches):
-        for keys, buf, ends in _rows(batches):
-            a, _, _, prints = anchors(buf, ends, length)
-            if len(a):
-                data = _strings(buf, a, prints).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([data[i : i + WIDTH] for i in range(0, len(data), WIDTH)], pa.binary())], names=["s"]
-                )
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                buf = np.frombuffer(t, np.uint8)
+                a, _, _, prints = anchors(buf, np.array([len(buf)]), length)
+                some = prints % _U(ONE_IN) == 0
+                if some.any():
+                    data = _strings(buf, a[some], prints[some]).tobytes()
+                    out += [data[i : i + WIDTH] for i in range(0, len(data), WIDTH)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["s"])
 
     return run
 
 
+def splitters_of(rows: DataFrame, total: int, ranges: int, length: int) -> list[bytes]:
+    """Strings that cut the suffixes into ``ranges`` of like size, or as many as differ."""
+    wanted = max(DRAWN * ranges, LEAST_DRAWN)
+    share = max(1, int(total * 2 / (length - PREFIX + 2)) // (wanted * ONE_IN))
+    picked = F.filter(
+        F.sequence(F.lit(0), F.floor(F.octet_length("text") / SLICE).cast("int")),
+        lambda i: F.pmod(F.xxhash64("h", i, F.lit("slice")), F.lit(share)) == 0,
+    )
+    slices = rows.select("text", F.explode(picked).alias("i"))
+    slices = slices.select(F.substring("text", F.col("i") * SLICE + 1, F.lit(SLICE)).alias("text"))
+    drawn = sorted({bytes(r[0]) for r in slices.mapInArrow(_sample(length), "s binary").collect()})
+    if len(drawn) < ranges:
+        return drawn
+    return sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)})
+
+
 def _bucket(w: np.ndarray, buckets: int) -> np.ndarray:
     return ((w >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
@@ -593,61 +618,53 @@ def _unzipped(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _cut(length: int):
-    def run(batches):
-        for b in batches:
-            kept, removed, spans, sizes, sums = [], [], [], [], []
-            for t, found in zip(map(_unzipped, b.column("z").to_pylist()), b.column("spans").to_pylist()):
-                cut = sorted((s["start"], s["end"]) for s in found or ())
-                out, at, n = [], 0, 0
-                for i, j in cut:
-                    if i > at or not n:
-                        out.append(t[at:i])
-                        n += 1
-                        at = j
-                    elif j > at:
-                        at = j
-                out.append(t[at:])
-                rest = b"".join(out)
-                kept.append(rest)
-                sizes.append(len(t))
-                removed.append(len(t) - len(rest))
-                spans.append(n)
-                sums.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("k"),
-                    b.column("h"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.int64()),
-                    pa.array(sums, pa.string()),
-                    pa.array(kept, pa.binary()),
-                ],
-                names=["k", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+def _left(text: bytes, found) -> tuple[bytes, int]:
+    """A text without these spans, and how many runs they make."""
+    out, at, n = [], 0, 0
+    for i, j in sorted((x["start"], x["end"]) for x in found or ()):
+        if i > at or not n:
+            out.append(text[at:i])
+            n += 1
+        at = max(at, j)
+    return b"".join([*out, text[at:]]), n
 
-    return run
+
+def _cut(batches):
+    for b in batches:
+        texts = [_unzipped(z) for z in b.column("z").to_pylist()]
+        kept = [_left(t, found) for t, found in zip(texts, b.column("spans").to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column("doc_id"),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([len(t) - len(x) for t, (x, _) in zip(texts, kept)], pa.int64()),
+                pa.array([n for _, n in kept], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x, _ in kept], pa.string()),
+                pa.array([x for x, _ in kept], pa.binary()),
+            ],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+        )
 
 
 NONE = -(1 << 63)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``k, h, text``: the document's place in the order, and its bytes."""
+def keyed(docs: DataFrame, *more) -> DataFrame:
+    """``k, h, text``: the document's place in the order, and its bytes; and other columns."""
     text = text_of()
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k"),
         F.xxhash64(text).alias("h"),
         text.cast("binary").alias("text"),
+        *more,
     )
 
 
 def dealt(rows: DataFrame) -> DataFrame:
     """Documents by their place in the order, texts compressed, in one exchange that
     the comparison of edges and the removal share."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    rows = rows.mapInArrow(_zipped, f"{kept}, z binary")
+    schema = StructType([f for f in rows.schema if f.name != "text"]).add("z", BinaryType())
+    rows = rows.mapInArrow(_zipped, schema)
     # said here so that no join adds it to one side alone, which would part the exchanges
     return rows.filter("k IS NOT NULL AND h IS NOT NULL").repartition("k", "h")
 
@@ -657,11 +674,8 @@ def repeats(docs: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFram
     dealt documents."""
     rows = keyed(docs)
     total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_BYTES))
-    share = max(1, int(total * 2 / (length - PREFIX + 2)) // SAMPLE)
-    drawn = rows.filter(F.pmod("h", F.lit(share)) == 0).mapInArrow(_sample(length), "s binary")
-    drawn = sorted({bytes(r[0]) for r in drawn.limit(20 * SAMPLE).collect()})
-    splitters = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if len(drawn) >= ranges else []
+    ranges = min(MOST_RANGES, max(1, -(-total // RANGE_BYTES)))
+    splitters = splitters_of(rows, total, ranges, length)
     blobs = "range int, blob binary"
     found = rows.mapInArrow(_map(splitters, length), blobs).repartitionById(len(splitters) + 1, "range")
     found = stash(found.mapInArrow(_reduce(splitters, length), FOUND), "suffix-found")
@@ -673,27 +687,22 @@ def repeats(docs: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFram
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``k, h, n_bytes, n_removed, n_spans, kept_sha256, kept`` of each document."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of each document."""
     tune(docs.sparkSession)
-    texts = dealt(keyed(docs))
-    rows = texts.join(repeats(docs, texts, length), ["k", "h"], "left").select("k", "h", "z", "spans")
+    texts = dealt(keyed(docs, F.col("doc_id").cast("long").alias("doc_id")))
+    rows = texts.join(repeats(docs, texts, length), ["k", "h"], "left").select("doc_id", "z", "spans")
     return rows.mapInArrow(
-        _cut(length),
-        "k long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
+        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 
 def _shorten(columns: list[str]):
     def run(batches):
         for b in batches:
-            texts = []
-            cols = {c: b.column(c) for c in columns if c != "text"}
-            for t, null, found in zip(*(b.column(c).to_pylist() for c in ("z", "_null", "spans"))):
-                raw, out, at = _unzipped(t), [], 0
-                for i, j in sorted((s["start"], s["end"]) for s in found or ()):
-                    out.append(raw[at:i] if i > at else b"")
-                    at = max(at, j)
-                texts.append(None if null else b"".join([*out, raw[at:]]).decode("utf-8", "ignore"))
+            row = b.column("row")
+            cols = dict(zip((f.name for f in row.type), row.flatten()))
+            found = zip(*(b.column(c).to_pylist() for c in ("z", "null", "spans")))
+            texts = [None if null else _left(_unzipped(z), spans)[0].decode("utf-8", "ignore") for z, null, spans in found]
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
@@ -705,23 +714,14 @@ def _shorten(columns: list[str]):
 def shorten(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with all their columns, without the repeated bytes of their
     texts. A character that loses some of its bytes goes whole; a document may end
-    up empty, but stays."""
+    up empty, but stays. ``n_chars``, if there, follows the text; null texts stay null.
+    The columns travel as one, so their names do not matter."""
     tune(docs.sparkSession)
-    rows = docs.withColumns(
-        {
-            "k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)),
-            "h": F.xxhash64(text_of()),
-            "_null": F.col("text").isNull(),
-            "text": text_of().cast("binary"),
-        }
-    )
-    texts = dealt(rows)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    texts = dealt(keyed(docs, F.col("text").isNull().alias("null"), F.struct(*others).alias("row")))
     rows = texts.join(repeats(docs, texts, length), ["k", "h"], "left")
     return rows.mapInArrow(_shorten(docs.columns), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(table(spark, sf_dir, "documents"))
-    return found.select(
-        F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
-    )
+    return dedup(table(spark, sf_dir, "documents")).drop("kept")
