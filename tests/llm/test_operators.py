@@ -507,6 +507,32 @@ def test_op9_against_brute_force(spark):
     assert neighbours.search(df.filter("vec_id IN (0, 1, 2)")).count() == 2
 
 
+def test_op9_recall_as_shipped(spark, data):
+    path = data.replace("sf0.001", "sf0.1")
+    df = spark.read.parquet(f"{path}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.select("vec_id", "embedding").collect()]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    got = defaultdict(set)
+    for x in neighbours.search(df).collect():
+        got[x["query_id"]].add(x["vec_id"])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        far = ((v - v[q]) ** 2).sum(1)
+        far[q] = np.inf
+        want = set(ids[np.lexsort((ids, far))[:10]].tolist())
+        hits, total = hits + len(want & got[int(ids[q])]), total + len(want)
+    assert total >= 200 and hits >= 0.9 * total
+
+
+def test_op9_probes_follow_the_structure():
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16)) * 20
+    v = centres[r.integers(0, 40, 4000)] + r.normal(size=(4000, 16))
+    assert neighbours.Space(v, 40).probes(v, 10) < 8
+    v = r.normal(size=(4000, 64))
+    assert neighbours.Space(v, 40).probes(v, 10) > 15
+
+
 def test_op10_base_and_distribution(spark, docs, none, rows):
     got = lm_scoring.score(docs).collect()
     fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
