@@ -447,10 +447,12 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
     texts = stash(rows.join(scores.select("k"), "k").dropDuplicates(["k"]), "near-texts")
     drawn = reps.select("k", "sketch")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        likely = pairs.join(drawn.select(F.col("k").alias("a"), F.col("sketch").alias("sa")), "a")
-        likely = likely.join(drawn.select(F.col("k").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = likely.filter(agreeing("sa", "sb")).select("a", "b")
+    def verified(pairs: DataFrame, agreed: bool = False) -> DataFrame:
+        """Pairs of the threshold's similarity; ``agreed``: their samples are known to agree."""
+        likely = pairs if agreed else pairs.join(drawn.select(F.col("k").alias("a"), F.col("sketch").alias("sa")), "a")
+        if not agreed:
+            likely = likely.join(drawn.select(F.col("k").alias("b"), F.col("sketch").alias("sb")), "b")
+            likely = likely.filter(agreeing("sa", "sb")).select("a", "b")
         likely = likely.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
         likely = likely.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
         found = likely.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a long, b long")
@@ -481,7 +483,7 @@ def nodes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
     roots = components(links)
     rest = prefix_pairs(members, roots, texts, drawn, weights, threshold)
     if not rest.isEmpty():
-        links = links.union(verified(rest))
+        links = links.union(verified(rest, agreed=True))
         roots = components(links)
     roots = roots.withColumnRenamed("k", "rep")
     return out.join(roots, "rep", "left").select("k", "id", "rep", F.coalesce("root", "rep").alias("root"))
