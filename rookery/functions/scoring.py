@@ -226,5 +226,16 @@ def softmax(x: Column, temperature: float = 1.0) -> Column:
     return let(_exps(x, temperature), lambda e: let(_total(e), lambda total: F.transform(e, lambda v: v / total)))
 
 
+def combined_loss(logits: Column, teacher: Column, target: Column, alpha: float = 0.5, temperature: float = 1.0) -> Column:
+    """``soft, hard, total``: divergence of the softened student from the teacher times the
+    squared temperature, cross entropy at the target, and their mix."""
+    safe = F.transform(teacher, lambda x: F.greatest(x, F.lit(1e-10)))
+    safe = let(safe, lambda t: F.transform(t, lambda x: x / _total(t)))
+    soft = kl(safe, softmax(logits, temperature)) * temperature**2
+    hard = -F.ln(F.element_at(softmax(logits), target.cast("int") + 1))
+    parts = F.struct(soft.alias("soft"), hard.alias("hard"))
+    return let(parts, lambda p: F.struct(p["soft"].alias("soft"), p["hard"].alias("hard"), (p["soft"] * alpha + p["hard"] * (1 - alpha)).alias("total")))
+
+
 def phase(pieces: Column, fullmove: Column) -> Column:
     return F.when(pieces <= 10, "endgame").when(fullmove <= 10, "opening").otherwise("middlegame")

@@ -130,7 +130,7 @@ def think_text(response: Column) -> Column:
 
 def approx_tokens(text: Column) -> Column:
     """Words or a quarter of the characters, whichever is more, 1 at least."""
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    words = F.regexp_count(text, F.lit(r"\S+"))
     return F.greatest(F.lit(1), words, F.floor(F.length(text) / 4).cast("int"))
 
 

@@ -32,6 +32,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> dict[str, Entry]:
-    from rookery.plans import boards, evaluation, positions, sampling, scoring, texts  # noqa: F401
+    from rookery.plans import boards, evaluation, messages, positions, sampling, scoring, teaching, texts  # noqa: F401
 
     return ENTRIES

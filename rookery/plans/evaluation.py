@@ -88,13 +88,8 @@ def acpl_by_side(spark, sf_dir):
     f"WITH {RANKED_SQL} SELECT source, (list_sort(list(cp_loss))[count(*) // 2 + 1])::INT AS median FROM r GROUP BY source",
 )
 def upper_median(spark, sf_dir):
-    """``sorted[n // 2]``; losses are few, so counts per loss stand for the sorted list."""
-    counts = ranked(spark, sf_dir).groupBy("source", "cp_loss").agg(F.count("*").alias("n"))
-    here = Window.partitionBy("source")
-    upto = F.sum("n").over(here.orderBy("cp_loss"))
-    total = F.sum("n").over(here)
-    counts = counts.withColumn("hit", upto > F.floor(total / 2))
-    return counts.filter("hit").groupBy("source").agg(F.min("cp_loss").cast("int").alias("median"))
+    r = ranked(spark, sf_dir)
+    return metrics.upper_medians(r, "source", "cp_loss", "median").withColumn("median", F.col("median").cast("int"))
 
 
 @query(

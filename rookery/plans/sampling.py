@@ -26,10 +26,10 @@ def game_filter(spark, sf_dir):
     return games(spark, sf_dir).filter(kept).select("game_id", "result")
 
 
-@query("puzzle_filter", "SELECT p_partkey AS puzzle_id FROM part WHERE p_retailprice BETWEEN 1000 AND 1500 AND p_size >= 2 AND p_name <> ''")
+@query("puzzle_filter", "SELECT p_partkey AS puzzle_id FROM part WHERE 600 + p_size * 60 BETWEEN 1000 AND 2500 AND p_size >= 2 AND p_name <> ''")
 def puzzle_filter(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.filter(F.col("p_retailprice").between(1000, 1500) & (F.col("p_size") >= 2) & (F.col("p_name") != "")).select(
+    return p.filter((600 + F.col("p_size") * 60).between(1000, 2500) & (F.col("p_size") >= 2) & (F.col("p_name") != "")).select(
         F.col("p_partkey").alias("puzzle_id")
     )
 
@@ -91,9 +91,7 @@ def quota_arithmetic(spark, sf_dir):
 def stratified_by_phase(spark, sf_dir):
     m = moves(spark, sf_dir).withColumn("phase", S.phase(F.col("legal"), F.col("ord") + 7))
     most = F.when(F.col("phase") == "endgame", 40).otherwise(60)
-    out = P.quota(m, "phase", 60, "phase", "pos_id", "ord", "move", "sk")
-    again = Window.partitionBy("phase").orderBy(S.hash_u("phase", *[F.col(c) for c in ("pos_id", "ord", "move", "sk")]), "pos_id", "ord", "move", "sk")
-    return out.withColumn("_rn", F.row_number().over(again)).filter(F.col("_rn") <= most).select("pos_id", "ord", "move", "phase")
+    return P.quota(m, "phase", most, "phase", "pos_id", "ord", "move", "sk", cap=60).select("pos_id", "ord", "move", "phase")
 
 
 @query(
@@ -200,14 +198,18 @@ def resume_skip(spark, sf_dir):
 
 @query(
     "special_token_union",
-    "SELECT * FROM (VALUES ('<think>|</think>|<uci_move>|</uci_move>', '<fen>|</fen>')) AS t(tokens, missing)",
+    """WITH w AS (SELECT conv_id, list_distinct(list(role)) AS have FROM conversations GROUP BY conv_id)
+    SELECT conv_id, array_to_string(list_sort(list_distinct(list_concat(have, ['user', 'tool', 'system']))), '|') AS tokens,
+    array_to_string(list_filter(['assistant', 'system', 'tool', 'user'], lambda x: NOT list_contains(have, x)), '|') AS missing FROM w""",
 )
 def special_token_union(spark, sf_dir):
-    """Append what is absent, keep the order; and what a list lacks."""
-    have, add = F.split(F.lit("<think>|</think>"), r"\|"), F.split(F.lit("</think>|<uci_move>|<think>|</uci_move>"), r"\|")
-    need = F.split(F.lit("<think>|<fen>|</fen>"), r"\|")
-    return spark.range(1).select(
-        F.array_join(F.array_union(have, add), "|").alias("tokens"), F.array_join(F.array_except(need, have), "|").alias("missing")
+    """A conversation's roles and those to add, each once; and what it lacks."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("have"))
+    add, need = (F.array(*[F.lit(x) for x in names]) for names in (("user", "tool", "system"), ("assistant", "system", "tool", "user")))
+    return c.select(
+        "conv_id",
+        F.array_join(F.array_sort(F.array_union("have", add)), "|").alias("tokens"),
+        F.array_join(F.array_except(need, F.col("have")), "|").alias("missing"),
     )
 
 

@@ -338,13 +338,13 @@ def dedup_annotate_join(spark, sf_dir):
 
 @query(
     "opening_upsert",
-    """WITH l AS (SELECT substr(text, 1, 24) AS key, len(text) AS n, item_id FROM benchmark UNION ALL SELECT substr(text, 1, 24), len(text), doc_id + 1000000 FROM documents),
+    """WITH l AS (SELECT md5(text) AS key, len(text) + item_id % 3 AS n, item_id FROM benchmark UNION ALL SELECT md5(text), len(text) + doc_id % 3, doc_id + 1000000 FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, item_id DESC) AS rn FROM l) SELECT key, n, item_id FROM r WHERE rn = 1""",
 )
 def opening_upsert(spark, sf_dir):
-    """One line a key: the longest, the later among equals."""
+    """One line a key (of the whole text): the longest, the later among equals."""
     line = lambda df, c, plus: df.select(
-        F.substring("text", 1, 24).alias("key"), F.length("text").cast("long").alias("n"), (F.col(c) + plus).alias("item_id")
+        F.md5("text").alias("key"), (F.length("text") + F.col(c) % 3).cast("long").alias("n"), (F.col(c) + plus).alias("item_id")
     )
     lines = line(table(spark, sf_dir, "benchmark"), "item_id", 0).union(line(table(spark, sf_dir, "documents"), "doc_id", 1000000))
     return teacher.upsert_prefixes(lines, "key", "n", "item_id")

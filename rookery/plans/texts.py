@@ -185,14 +185,13 @@ def file_stem_pieces(spark, sf_dir):
 
 @query(
     "template_variables",
-    "SELECT * FROM (VALUES ('board|color')) AS t(unknown)",
+    r"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[a-z]+'), lambda x: len(x) > 9 AND NOT list_contains(['association', 'information'], x)))), '|') AS unknown FROM benchmark""",
 )
 def template_variables(spark, sf_dir):
-    """Variables of a template that a whitelist does not have."""
-    t = F.lit("Play {{ FEN }} as {{ color }} on {{ board }} from {{ legal_moves_uci }}")
-    names = F.regexp_extract_all(t, F.lit(r"\{\{ (\w+) \}\}"), F.lit(1))
-    unknown = F.array_except(names, F.split(F.lit("FEN,legal_moves_uci"), ","))
-    return spark.range(1).select(F.array_join(F.sort_array(unknown), "|").alias("unknown"))
+    """Names of a template that a whitelist does not have (long words stand for names)."""
+    names = F.filter(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 9)
+    unknown = F.array_except(names, F.split(F.lit("association,information"), ","))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.sort_array(unknown), "|").alias("unknown"))
 
 
 @query(
@@ -224,12 +223,13 @@ def summarize_items(spark, sf_dir):
 
 @query(
     "opening_lookup",
-    """WITH b AS (SELECT substr(text, 1, 24) AS key, min(item_id) AS opening FROM benchmark GROUP BY 1) SELECT doc_id, opening FROM documents d LEFT JOIN b ON substr(d.text, 1, 24) = b.key""",
+    """WITH b AS (SELECT md5(text) AS key, min(item_id) AS opening FROM benchmark GROUP BY 1 UNION ALL SELECT md5(text), min(doc_id) + 1000000 FROM documents WHERE doc_id % 3 = 0 AND text NOT IN (SELECT text FROM benchmark) GROUP BY 1)
+    SELECT doc_id, opening FROM documents d LEFT JOIN b ON md5(d.text) = b.key""",
 )
 def opening_lookup(spark, sf_dir):
-    """Positions meet the opening book on their key; those outside it stay."""
-    book = table(spark, sf_dir, "benchmark").groupBy(F.substring("text", 1, 24).alias("key")).agg(F.min("item_id").alias("opening"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 24).alias("key"))
-    return docs.join(book, "key", "left").select("doc_id", "opening")
-
-
+    """Positions meet the opening book on their key (of the whole text); those outside stay."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    key = F.md5("text").alias("key")
+    book = items.groupBy(key).agg(F.min("item_id").alias("opening"))
+    more = docs.filter("doc_id % 3 = 0").groupBy(key).agg((F.min("doc_id") + 1000000).alias("opening")).join(book.select("key"), "key", "left_anti")
+    return docs.select("doc_id", key).join(book.union(more), "key", "left").select("doc_id", "opening")
