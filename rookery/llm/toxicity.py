@@ -8,7 +8,7 @@ likelihood-ratio statistic), so that cosines compare what bears on toxicity more
 topics. All words of the examples span the space; other words of a text would shorten
 all its cosines alike, which its votes do not see. The memory is an inverted index with
 each word's greatest weight in every block of examples. The postings of a text's words
-that matter most are added up first; what the others can add to any example of a block
+that matter most are added up first (those of very common words stand as a matrix); what the others can add to any example of a block
 is bounded by the block's greatest weights, blocks and examples that cannot reach the
 K-th best so far are left out, and the rest are scored in full, so the K nearest are
 exact. Their votes, weighted by cosine to a power, make a raw score; a monotone map
@@ -35,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import stash, table, text_of, tune
+from rookery.llm.common import one_thread, stash, table, text_of, tune
 
 #: Examples of each label at most.
 EXAMPLES = 1500
 NEAREST = 15
 BLOCK = 128
+#: A word that more than one in so many examples hold is a row of a matrix.
+MANY = 4
 #: Share of a text's bounds that is left to the second step.
-REST = 0.02
+REST = 0.003
 POWER = 2.0
 CUT = 0.7
 #: Least factor of a word's weight: of words that do not go with a label.
@@ -166,6 +168,14 @@ class Memory:
         self.words = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in self.own)]).astype(np.int32)
         self.values = np.concatenate([np.zeros(0), *(w for _, w in self.own)])
         self._text = np.zeros(len(self.number))
+        self._numbers = np.arange(len(word), dtype=np.int32)
+        # words of many examples as rows of a matrix, in single precision
+        many = np.flatnonzero(np.diff(self.start) * MANY > len(found))
+        self.row = np.full(len(self.number), -1, np.int32)
+        self.row[many] = np.arange(len(many))
+        self.grid = np.zeros((len(many), len(found)), np.float32)
+        row = self.row[word]
+        self.grid[row[row >= 0], self.example[row >= 0]] = self.value[row >= 0]
         self.steps, self.rates = np.zeros(0), np.zeros(0)
         if len(found):
             self._calibrate()
@@ -192,12 +202,21 @@ class Memory:
         bound = w * self.peak[ids]
         begin, end = self.start[ids], self.start[ids + 1]
         # words whose postings are many for what they can add wait
-        order = np.argsort(bound / (end - begin))
+        row = self.row[ids]
+        order = np.flatnonzero(row < 0)
+        order = order[np.argsort((bound / (end - begin))[order])]
         wait = np.cumsum(bound[order]) <= REST * bound.sum()
         later, now = order[wait], order[~wait]
         at, sizes = begin[now], end[now] - begin[now]
-        at = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        part = np.bincount(self.example[at], self.value[at] * np.repeat(w[now], sizes), len(self.labels))
+        at = np.repeat((at - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+        at += self._numbers[: len(at)]
+        part = self.value.take(at)
+        part *= np.repeat(w[now], sizes)
+        part = np.bincount(self.example.take(at), part, len(self.labels)).astype(float, copy=False)
+        common = row >= 0
+        weights = np.zeros(len(self.grid), np.float32)
+        weights[row[common]] = w[common]
+        part += weights @ self.grid
         if without >= 0:
             part[without] = -2.0
         reach = part
@@ -208,15 +227,13 @@ class Memory:
         some = some[self.sizes[some] > 0]
         if not len(some):
             return []
-        if len(later):  # in full
-            sizes = self.sizes[some]
-            first = np.cumsum(sizes) - sizes
-            at = np.repeat(self.first[some] - first, sizes) + np.arange(int(sizes.sum()))
-            self._text[ids] = w
-            scores = np.add.reduceat(self._text[self.words[at]] * self.values[at], first)
-            self._text[ids] = 0
-        else:
-            scores = part[some]
+        # in full, and in double precision
+        sizes = self.sizes[some]
+        first = np.cumsum(sizes) - sizes
+        at = np.repeat(self.first[some] - first, sizes) + np.arange(int(sizes.sum()))
+        self._text[ids] = w
+        scores = np.add.reduceat(self._text[self.words[at]] * self.values[at], first)
+        self._text[ids] = 0
         best = np.lexsort((some, -scores))[:k]
         best = best[scores[best] > 0]
         return list(zip(scores[best].tolist(), some[best].tolist()))
@@ -270,6 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> Memory:
 
 def _score(memory: Memory):
     def run(batches):
+        one_thread()
         for b in batches:
             scores, nearest = [], []
             for t in b.column("text").to_pylist():
@@ -295,6 +313,7 @@ def score(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> DataFrame
 
 def _clean(memory: Memory, cut: float):
     def run(batches):
+        one_thread()
         for b in batches:
             yield b.filter(pa.array([(memory.score(t or "")[0] < cut) for t in b.column("text").to_pylist()], pa.bool_()))
 
