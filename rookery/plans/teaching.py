@@ -221,13 +221,13 @@ def preprocess_with_eval(spark, sf_dir):
 
 @query(
     "fixed_eval_slice",
-    f"""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CASE source WHEN 'web' THEN {_u("1042", "doc_id")} WHEN 'wiki' THEN {_u("2042", "doc_id")} END, doc_id) AS rn FROM documents)
-    SELECT doc_id, source IN ('web', 'wiki') AND rn <= 20 AS is_eval FROM d""",
+    f"""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CASE source WHEN 'src1' THEN {_u("1042", "doc_id")} WHEN 'src2' THEN {_u("2042", "doc_id")} END, doc_id) AS rn FROM documents)
+    SELECT doc_id, source IN ('src1', 'src2') AND rn <= 20 AS is_eval FROM d""",
 )
 def fixed_eval_slice(spark, sf_dir):
     """Rows of two sources that a stream never trains on."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return P.eval_slice(docs, "source", {"web": 20, "wiki": 20}, 42, "doc_id").select("doc_id", "is_eval")
+    return P.eval_slice(docs, "source", {"src1": 20, "src2": 20}, 42, "doc_id").select("doc_id", "is_eval")
 
 
 @query(
