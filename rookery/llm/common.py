@@ -57,6 +57,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rookery/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process has written, the latest last.
+STASHED: list[str] = []
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes stashed tables that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for p in map(hadoop, paths):
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    STASHED[:] = [p for p in STASHED if p not in set(paths)]
+
+
 def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -66,6 +78,7 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.options(**options).parquet(path)
+    STASHED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -625,13 +625,66 @@ def test_registry_names():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
-def test_pipeline_stages(spark, data):
+def brute_links(texts):
+    """Whether texts are copies or share 0.8 of their five-word shingles, by plain counts."""
+    bags = []
+    for t in texts:
+        w = WORD.findall((t or "").lower())
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    return lambda a, b: sum((bags[a] & bags[b]).values()) / sum((bags[a] | bags[b]).values())
+
+
+def test_pipeline_against_brute_force(spark, docs, none, rows):
+    import corpus_pipeline as p
+
+    labels = [(r[0], 1, int(r[0] % 9 == 0)) for r in rows if r[0] is not None][:40]
+    folder = shared_path(spark, "labels")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stage = dict(p.STAGES)
+    clean = stage["toxicity"](spark, docs, folder)
+    want = [r for r in toxicity.score(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect() if r["score"] < 0.7]
+    assert clean.columns == docs.columns and Counter(r["doc_id"] for r in clean.collect()) == Counter(r["doc_id"] for r in want)
+
+    one = stage["minhash_near_dedup"](spark, docs, folder).collect()
+    kept = [tuple(r) for r in one]
+    assert set(kept) <= set(rows) and len(set(kept)) == len(kept)
+    texts = [r[1] for r in kept] + [r[1] for r in rows]
+    same = brute_links(texts)
+    assert all(same(i, j) < 0.8 for i, j in itertools.combinations(range(len(kept)), 2))
+    for j in range(len(kept), len(texts)):  # what went is like something that stayed
+        assert max(same(i, j) for i in range(len(kept))) > 0.7
+
+    short = {r["doc_id"]: r["text"] for r in stage["suffix_dedup"](spark, docs, folder).collect()}
+    seen = set()
+    for d in sorted(distinct_rows(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
+        b = raw(d[1])
+        gone = bytearray(len(b))
+        for at in range(len(b) - 99):
+            if b[at : at + 100] in seen:
+                gone[at : at + 100] = b"\1" * 100
+            seen.add(b[at : at + 100])
+        left = bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+        assert short[d[0]] == (None if d[1] is None else left)
+
+    packed = stage["best_fit_packing"](spark, stage["source_mixing"](spark, docs, folder), folder).collect()
+    tokens_of = Counter()
+    for r in stage["source_mixing"](spark, docs, folder).collect():
+        tokens_of[r["doc_id"]] += len(encoded("word_bpe_49k.json", r["text"]))
+    assert Counter({d: n for d, n in tokens_of.items()}) == sum((Counter({r["doc_id"]: r["length"]}) for r in packed), Counter())
+
+    # an empty table, and columns of names that stages use themselves
+    for _, run in p.STAGES:
+        assert run(spark, none, folder).count() == 0
+    named = docs.withColumnsRenamed({"k": "node", "size": "row", "score": "left"})
+    for name in ("toxicity", "minhash_near_dedup", "suffix_dedup", "source_mixing"):
+        assert stage[name](spark, named, folder).columns == named.columns
+        assert stage[name](spark, named, folder).count() > 0
+
+
+def test_pipeline_runs(spark, data):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{data}/documents.parquet").limit(80)
-    counts = []
-    for _, stage in p.STAGES:
-        docs = docs.sparkSession.createDataFrame(stage(spark, docs, data).collect(), stage(spark, docs, data).schema)
-        counts.append(docs.count())
-    assert counts[0] <= 80 and counts[1] <= counts[0] and counts[2] == counts[1] and counts[4] >= counts[3]
-    assert {"sequence_id", "offset"} <= set(docs.columns)
+    out = p.run(spark, data)
+    assert {"sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+    fill = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert fill.filter("n <> end OR n > 2048").count() == 0
