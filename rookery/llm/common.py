@@ -20,9 +20,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def one_thread() -> None:
-    """Numpy's matrix products in this process keep to one thread: a task has one core."""
+def settle() -> None:
+    """What a task does first in its Python worker: numpy's matrix products keep to one
+    thread (a task has one core), and memory that earlier tasks of the worker have freed
+    goes back to the machine."""
     import ctypes
+    import gc
     import glob
     import os
 
@@ -32,6 +35,10 @@ def one_thread() -> None:
         set_threads = getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None)
         if set_threads:
             set_threads(1)
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.llm import jpeg
-from rookery.llm.common import one_thread, stash, table, text_of, tune
+from rookery.llm.common import settle, stash, table, text_of, tune
 
 UNIT = 64
 #: MCUs in a row of an image, unless it would be higher than the format allows, and
@@ -124,6 +124,7 @@ def _portions(column: list[bytes], limit: int = 1 << 21):
 
 
 def _store(batches):
+    settle()
     for b in batches:
         ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
         for i, j in _portions(texts):
@@ -138,7 +139,7 @@ def _store(batches):
 
 
 def _read(batches):
-    one_thread()
+    settle()
     for b in batches:
         ids, sizes, media = (b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))
         for i, j in _portions(media):
@@ -159,7 +160,7 @@ def _read(batches):
 
 
 def _tensors(batches):
-    one_thread()
+    settle()
     for b in batches:
         ids, media = b.column("doc_id").to_pylist(), b.column("media").to_pylist()
         for i, j in _portions(media, 1 << 18):

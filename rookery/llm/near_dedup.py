@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.common import stash, table, text_of, tune
+from rookery.llm.common import settle, stash, table, text_of, tune
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -205,6 +205,7 @@ def _blocks(batches):
 def _reports(batches):
     """Shingles in at least one of ``2 * COMMON`` documents of a block of documents;
     the row with a null hash says how many documents the block has."""
+    settle()
 
     def report(parts, documents):
         x, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -232,6 +233,7 @@ def _reports(batches):
 
 def _count(wanted: list[int]):
     def run(batches):
+        settle()
         keys = np.array(sorted(wanted), np.int64).view(_U)
         keys.sort()
         seen = np.zeros(1 << 16, bool)
@@ -249,6 +251,7 @@ def _count(wanted: list[int]):
 
 def _sketch(weights: Weights):
     def run(batches):
+        settle()
         sampler = Sampler()
         for ks, texts in _blocks(batches):
             x, counts, first, prints = shingle_hashes(texts)
@@ -306,6 +309,7 @@ def _parts(weights: Weights):
     """Every shingle of a text with its weight."""
 
     def run(batches):
+        settle()
         for b in batches:
             ks, texts = b.column("k").to_pylist(), b.column("text").to_pylist()
             for k, t in zip(ks, texts):
@@ -322,6 +326,7 @@ def _parts(weights: Weights):
 
 def _verify(weights: Weights, threshold: float):
     def run(batches):
+        settle()
         known: dict[int, tuple] = {}
         for b in batches:
             rows = list(zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.common import one_thread, stash, table, tune
+from rookery.llm.common import settle, stash, table, tune
 
 K = 10
 #: Vectors that the centroids are fitted on and the probes are counted on, at most, and
@@ -127,7 +127,7 @@ def _lists(space: Space, k: int):
     """Blocks of each list: ``list, block`` with ids, vectors and turned columns."""
 
     def run(batches):
-        one_thread()
+        settle()
         held: dict[int, list] = {}
 
         def block(rows):
@@ -183,7 +183,7 @@ def _probes(space: Space, first: int, last: int):
     ``last``: which of a query's lists."""
 
     def run(batches):
-        one_thread()
+        settle()
         held: dict[int, list] = {}
 
         def block(rows):
@@ -256,7 +256,7 @@ def scan(q: np.ndarray, q_turned: np.ndarray, bounds: np.ndarray, v: np.ndarray,
 
 def _search(k: int):
     def run(batches):
-        one_thread()
+        settle()
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def found():

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from rookery.llm.common import stash, table, text_of, tune
+from rookery.llm.common import settle, stash, table, text_of, tune
 
 LENGTH = 100
 PREFIX = 32
@@ -351,6 +351,7 @@ def merge(runs: list[tuple[bytes, list[int]]]) -> Iterator[tuple[int, int, int]]
 
 def _map(splitters: list[bytes], length: int):
     def run(batches):
+        settle()
         from bisect import bisect_left
 
         for n, (keys, buf, ends) in enumerate(_rows(batches)):
@@ -395,6 +396,7 @@ def _batch(keys, start, end, settled) -> pa.RecordBatch:
 
 def _reduce(splitters: list[bytes], length: int):
     def run(batches):
+        settle()
         ranges: dict[int, list[bytes]] = {}
         for b in batches:
             for r, blob in zip(b.column("range").to_pylist(), b.column("blob").to_pylist()):
@@ -464,6 +466,7 @@ def _settle(runs, low: bytes | None, high: bytes | None, length: int):
 
 def _sample(length: int):
     def run(batches):
+        settle()
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
@@ -538,6 +541,7 @@ def _windows(length: int, buckets: int):
             )
 
     def run(batches):
+        settle()
         keys, parts, size, last = [], [], 0, None
         for b in batches:
             texts, spans = b.column("z").to_pylist(), b.column("edges").to_pylist()
@@ -588,6 +592,7 @@ def _meet(length: int):
             yield _batch(own[first][d[at : at + 50_000]], i[at : at + 50_000], j[at : at + 50_000], True)
 
     def run(batches):
+        settle()
         held: dict[int, list[bytes]] = {}
         for b in batches:
             for r, blob in zip(b.column("range").to_pylist(), b.column("blob").to_pylist()):
@@ -603,6 +608,7 @@ def _meet(length: int):
 
 
 def _zipped(batches):
+    settle()
     import zstandard
 
     z = zstandard.ZstdCompressor(level=3)
@@ -630,6 +636,7 @@ def _left(text: bytes, found) -> tuple[bytes, int]:
 
 
 def _cut(batches):
+    settle()
     for b in batches:
         texts = [_unzipped(z) for z in b.column("z").to_pylist()]
         kept = [_left(t, found) for t, found in zip(texts, b.column("spans").to_pylist())]
@@ -698,6 +705,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _shorten(columns: list[str]):
     def run(batches):
+        settle()
         for b in batches:
             row = b.column("row")
             cols = dict(zip((f.name for f in row.type), row.flatten()))

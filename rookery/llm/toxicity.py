@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import one_thread, stash, table, text_of, tune
+from rookery.llm.common import settle, stash, table, text_of, tune
 
 #: Examples of each label at most.
 EXAMPLES = 1500
 NEAREST = 15
-BLOCK = 128
+BLOCK = 256
 #: A word that more than one in so many examples hold is a row of a matrix.
 MANY = 4
 #: Share of a text's bounds that is left to the second step.
@@ -112,6 +112,7 @@ def examples(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> tuple[
 
 def _frequencies(words: list[str]):
     def run(batches):
+        settle()
         number = {w: i for i, w in enumerate(words)}
         n, total = np.zeros(len(words), np.int64), 0
         for b in batches:
@@ -287,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> Memory:
 
 def _score(memory: Memory):
     def run(batches):
-        one_thread()
+        settle()
         for b in batches:
             scores, nearest = [], []
             for t in b.column("text").to_pylist():
@@ -313,7 +314,7 @@ def score(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> DataFrame
 
 def _clean(memory: Memory, cut: float):
     def run(batches):
-        one_thread()
+        settle()
         for b in batches:
             yield b.filter(pa.array([(memory.score(t or "")[0] < cut) for t in b.column("text").to_pylist()], pa.bool_()))
 
