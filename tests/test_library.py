@@ -120,3 +120,41 @@ def test_entry_without_the_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not {'op1_suffix_dedup', 'pipeline'} & set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_teacher_config_understands_older_names():
+    from rookery.operators.teacher import teacher_config
+
+    c = teacher_config({"workers": "4", "hash_mb": 32, "depth": "9", "nonsense": 1, "nodes": None}, {"min_probability": "0.01"})
+    assert (c["num_workers"], c["hash_mb_per_worker"], c["depth"], c["nodes"], c["min_probability"]) == (4, 32, 9, None, 0.01)
+    assert "nonsense" not in c and c["threads_per_worker"] == 1
+    assert teacher_config({"num_workers": 2, "workers": 9})["num_workers"] == 2
+
+
+def test_medians_by_counts(spark):
+    from rookery.operators.metrics import upper_medians
+
+    rows = [("a", x) for x in (5, 1, 9, 9)] + [("b", 3), ("c", None)]
+    got = upper_medians(spark.createDataFrame(rows, "g string, x int"), "g", "x", "m").collect()
+    assert {r["g"]: r["m"] for r in got} == {"a": 9, "b": 3}
+
+
+def test_guarded_words_keep_their_capitals(spark):
+    from pyspark.sql import functions as F
+
+    from rookery.functions.thinking import guard
+
+    t = spark.createDataFrame([("Winning WIN losing window", "drawing"), ("a win", "winning")], "t string, r string")
+    assert [x[0] for x in t.select(guard(F.col("t"), F.col("r"))).collect()] == ["Drawn DRAW drawn window", "a win"]
+
+
+def test_thinking_without_moves(spark):
+    from pyspark.sql import functions as F
+
+    from rookery.functions import thinking as K
+
+    moves = "array<struct<uci string, san string, cp int, mate int, p double>>"
+    t = spark.createDataFrame([([],)], f"m {moves}".replace(" string", ":string").replace("cp int", "cp:int").replace("mate int", "mate:int").replace("p double", "p:double"))
+    m, target = F.col("m"), F.lit("e2e4")
+    r = t.select(K.move_analysis(m, target), K.eval_response(m, target), K.distill_messages(F.lit("?"), m, target, F.array().cast("array<string>"))).first()
+    assert r[0] == "No analysis available" and "? (?)" in r[1] and K.FALLBACK_THINKING in r[2][1]["content"]
