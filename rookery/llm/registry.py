@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rookery.llm import lm_scoring, media, merkle, mixing, near_dedup, neighbours, packing, sharding, suffix_dedup, token_files, toxicity
+from rookery.llm import divergence, lm_scoring, media, merkle, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest_neighbours": neighbours.query,
         "op10_lm_scoring": lm_scoring.query,
         "op11_merkle_manifest": merkle.query,
+        "op12_quality_classifier": quality.query,
+        "op13_source_divergence": divergence.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
+    return {"op6_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op13_source_divergence": divergence.ORACLE}
