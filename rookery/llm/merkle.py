@@ -194,7 +194,7 @@ class Manifest:
         the nodes left and right of the path in one run."""
         tops = _contexts(self.top, self.top_heights, F.array().cast(STEPS), self.fanout)
         tops = tops.select(F.col("hash").alias("subroot"), F.col("seen").alias("g"), F.col("steps").alias("above"))
-        own = _contexts(self.nodes, self.heights, None, self.fanout, tops)
+        own = _contexts(self.nodes, self.heights, None, self.fanout, stash(tops, "merkle-tops"))
         return own.select(F.col("id").alias("doc_id"), F.col("g").alias("lang_group"), F.col("hash").alias("leaf"), "seen", "subroot", "steps")
 
 
@@ -205,6 +205,7 @@ def _contexts(nodes: DataFrame, heights: DataFrame, start: Column | None, fanout
     """Leaves with the steps from each to what ``start`` or ``above`` (per group) holds."""
     roots = heights if above is None else heights.join(above, "g")
     roots = roots.select("g", "height", F.lit(None).cast("string").alias("subroot") if above is None else F.col("subroot"), (start if above is None else F.col("above")).alias("steps"))
+    roots = stash(roots, "merkle-roots")
     top = heights.agg(F.max("height")).first()[0] or 0
     records = nodes.filter("not open").select("g", "level", "idx", "kids", "ids", "seen")
     waiting, out = None, None
@@ -251,7 +252,7 @@ def build(docs: DataFrame, seen: Column | None = None, fanout: int = FANOUT, ran
     counts = stash(counts, "merkle-counts")
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("g", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    heights = _heights(counts.groupBy("g").agg(F.sum("rows").alias("n")), fanout)
+    heights = stash(_heights(counts.groupBy("g").agg(F.sum("rows").alias("n")), fanout), "merkle-heights")
     indexed = placed.join(bases, ["g", "part"]).select("g", (F.col("base") + F.col("n")).alias("idx"), "leaf", "doc_id", "seen")
     indexed = indexed.sortWithinPartitions("g", "idx")
     nodes = stash(indexed.mapInArrow(_walk(fanout), NODES), "merkle-nodes")
@@ -269,7 +270,8 @@ def build(docs: DataFrame, seen: Column | None = None, fanout: int = FANOUT, ran
         F.array("g").alias("seen"),
         F.lit(True).alias("open"),
     )
-    top_heights = _heights(subroots.groupBy(F.lit(TOP).alias("g")).agg(F.count("*").alias("n")), fanout)
+    top_heights = subroots.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(TOP).alias("g"), "n")
+    top_heights = stash(_heights(top_heights, fanout), "merkle-top-heights")
     return Manifest(nodes, heights, _merge(tops, top_heights, fanout, "top"), top_heights, subroots, fanout)
 
 
