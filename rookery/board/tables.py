@@ -100,3 +100,87 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def features(positions: DataFrame) -> DataFrame:
     """Tactical and positional features of ``pos_id, fen, move``; bad positions drop out."""
     return positions.select("pos_id", "fen", "move").mapInPandas(_features, FEATURES)
+
+
+LEGAL = "pos_id long, fen string, legal array<string>, sans array<string>"
+
+
+def _legal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in LEGAL.split(", ")]
+    for b in batches:
+        out = []
+        for key, fen in zip(b["pos_id"], b["fen"]):
+            try:
+                p = Position(fen)
+                if p.in_check(not p.white):
+                    continue
+                moves = p.legal_moves()
+                out.append((key, fen, moves, [p.san(m) for m in moves]))
+            except (ValueError, IndexError):
+                continue
+        yield pd.DataFrame(out, columns=names)
+
+
+def legal_moves(positions: DataFrame) -> DataFrame:
+    """Legal moves of ``pos_id, fen`` in both notations. Positions that cannot be read, or
+    in which the side that has moved is in check, drop out."""
+    return positions.select("pos_id", "fen").mapInPandas(_legal, LEGAL)
+
+
+PLAYED = "pos_id long, fen string, ucis array<string>, sans array<string>"
+
+
+def _played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PLAYED.split(", ")]
+    for b in batches:
+        out = []
+        for key, fen, picks in zip(b["pos_id"], b["fen"], b["picks"]):
+            try:
+                p = Position(fen)
+            except (ValueError, IndexError):
+                continue
+            ucis, sans = [], []
+            for n in picks if p.king(True) is not None and not p.in_check(not p.white) else ():
+                legal = p.legal_moves()
+                if not legal:
+                    break
+                ucis.append(legal[n % len(legal)])
+                sans.append(p.san(ucis[-1]))
+                p = p.push(ucis[-1])
+            out.append((key, fen, ucis, sans))
+        yield pd.DataFrame(out, columns=names)
+
+
+def play(positions: DataFrame) -> DataFrame:
+    """Games from ``pos_id, fen, picks``: each number picks one of the legal moves, until
+    there is none."""
+    return positions.select("pos_id", "fen", "picks").mapInPandas(_played, PLAYED)
+
+
+OPENING = "eco string, name string, line string, order long, length int, key string"
+
+
+def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in OPENING.split(", ")]
+    for b in batches:
+        out = []
+        for eco, name, line, order, moves in zip(b["eco"], b["name"], b["line"], b["order"], b["moves"]):
+            p = Position()
+            for n, move in enumerate(moves, 1):
+                try:
+                    uci = move if p.is_legal(move) else p.parse_san(move)
+                except (ValueError, IndexError):
+                    break  # what came before stays
+                p = p.push(uci)
+                out.append((eco, name, line, order, n, " ".join(p.fen().split(" ")[:4])))
+        yield pd.DataFrame(out, columns=names)
+
+
+def opening_book(openings: DataFrame, order: str) -> DataFrame:
+    """``key, eco, name, line, length`` of ``eco, name, line``: every position that a line
+    reaches, keyed by the first four fields of its FEN. Of lines that reach one position the
+    one that takes longest names it, the last by ``order`` among equals."""
+    moves = openings.select("eco", "name", "line", F.col(order).cast("long").alias("order"), parse_movetext(F.col("line")).alias("moves"))
+    entries = moves.mapInPandas(_prefixes, OPENING)
+    best = entries.groupBy("key").agg(F.max(F.struct("length", "order", "eco", "name", "line")).alias("m"))
+    return best.select("key", "m.eco", "m.name", "m.line", "m.length")

@@ -7,147 +7,28 @@ from pyspark.sql import functions as F
 
 from rookery.board import features as B
 from rookery.board import tables
+from rookery.board.rules import START
 from rookery.functions import text as T
 from rookery.plans.catalogue import query
+from rookery.plans.stand_ins import BOARDS_SQL, PLAYED_SQL, boards, played
+from rookery.sources.readers import table
 
-#: Positions of the feature queries, with a move: ends of random games.
-BOARDS = [
-    ("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "g1f3"),
-    ("8/8/3k4/8/8/2K5/8/8 b - - 5 41", "d6c5"),
-    ("8/8/8/K7/8/2b5/2k5/8 w - - 1 49", "a5a4"),
-    ("8/6rB/8/7P/K7/8/8/k7 b - - 6 50", "g7g5"),
-    ("8/6k1/8/3K4/8/1p6/8/8 b - - 2 46", "g7g8"),
-    ("8/6k1/8/3K4/8/1p6/8/8 b - - 2 46", "g7f7"),
-    ("8/4k3/1p6/1P6/2P1b3/8/8/6K1 w - - 3 43", "g1h2"),
-    ("k7/8/8/4p3/8/8/3K4/8 w - - 0 45", "d2e1"),
-    ("8/8/3k4/8/8/2K5/8/8 b - - 5 41", "d6c7"),
-    ("5k2/1r6/p5p1/8/8/4P2K/8/8 b - - 1 43", "b7b3"),
-    ("8/8/8/k4P2/3K4/8/6Q1/8 w - - 7 43", "g2g5"),
-    ("R7/7k/8/8/8/3Kb3/8/8 w - - 21 50", "a8a7"),
-    ("8/4R3/1k6/p3r3/8/8/3K4/8 w - - 0 48", "e7b7"),
-    ("8/6rB/8/7P/K7/8/8/k7 b - - 6 50", "g7a7"),
-    ("8/5k2/8/8/2K5/8/8/8 w - - 3 51", "c4c5"),
-    ("8/5k2/8/8/2K5/8/8/8 w - - 3 51", "c4b3"),
-    ("8/3b4/K7/6pn/2r1k3/8/8/8 b - - 3 39", "h5f4"),
-    ("4k3/2R5/8/8/4K2R/8/8/8 w - - 1 50", "c7h7"),
-    ("8/7p/7P/p7/8/4k3/7K/3r4 b - - 3 46", "d1h1"),
-    ("8/P7/5k2/2KP4/2P5/8/8/8 w - - 5 50", "c5d4"),
-    ("8/p7/B7/4RPk1/8/8/8/3K4 w - - 1 42", "f5f6"),
-    ("5k2/8/5pn1/2pP1P2/4P3/8/8/K7 b - - 8 43", "g6e7"),
-    ("RB6/8/2k5/8/8/7K/4n3/8 b - - 10 49", "c6b7"),
-    ("5bb1/3k4/8/8/8/3K4/8/8 b - - 3 44", "d7e7"),
-    ("5k2/8/3K4/8/7P/8/Pp3P2/R7 b - - 1 36", "b2a1q"),
-    ("Q7/8/4k3/2n5/7p/8/3K4/7R w - - 5 42", "a8c8"),
-    ("6k1/7p/1K6/1P6/7p/8/5n2/8 b - - 3 49", "h7h5"),
-    ("2k5/5p2/1p5q/6b1/8/3b4/8/6K1 b - - 35 49", "h6h2"),
-    ("1k6/8/6p1/P5Pp/1K6/8/8/8 b - - 4 47", "b8a7"),
-    ("N7/4k3/8/4p3/5b2/8/8/6K1 b - - 5 45", "f4h6"),
-    ("8/7K/8/1k6/8/1P6/6r1/8 b - - 1 38", "g2h2"),
-    ("4k3/2R5/8/8/4K2R/8/8/8 w - - 1 50", "h4f4"),
-    ("7k/8/8/8/1p1P4/1P3Q2/4K3/8 w - - 17 50", "f3f7"),
-    ("r3k1nr/pp3pp1/2p3p1/P3P3/8/R6P/1B1KPP1P/1N3BNR b kq - 0 12", "e8c8"),
-    ("1B6/1b6/4p1Bk/2p5/1PK5/8/2P3P1/6N1 b - - 1 32", "c5b4"),
-    ("1n2kb2/1p2ppp1/3p4/P1pP2p1/1N6/2P2P1q/5K1R/5QN1 b - - 3 22", "g5g4"),
-    ("1nb1kb1r/r1qppppp/5n2/1pp5/4PP2/NPP5/P2P2PP/R1BQK1NR w KQk - 0 8", "h2h3"),
-    ("1r3k2/ppp5/8/3pp2P/8/P3PP2/3P4/1RBK4 b - - 0 18", "a7a5"),
-    ("2b2k1r/5p1p/6R1/p7/2p4P/5P2/2PKn3/5R2 b - - 0 32", "e2g3"),
-    ("2k5/8/R7/8/7B/8/P1P5/4K2R b - - 22 43", "c8d7"),
-    ("3k2r1/1p3p2/4n1p1/2bp2P1/PP6/1P6/R1N1K1PP/5B1R w - - 3 22", "b4b5"),
-    ("3rk3/pb3p2/n1p5/1p6/8/N5r1/PP2P2K/R7 b - - 9 32", "g3d3"),
-    ("4k3/8/8/1N4P1/8/8/2PN4/3K3n w - - 2 50", "b5d4"),
-    ("5b2/8/3p4/7k/1K6/8/8/6b1 w - - 5 51", "b4b3"),
-    ("5r2/r1p4p/8/1N2R3/p7/6Pk/n3K3/3R4 b - - 1 35", "h3g3"),
-    ("6nr/4k1pB/2pQ1p2/r7/1PN4N/8/4P3/4K2R b K - 2 20", "e7f7"),
-    ("8/1b6/2k5/4nBP1/4P3/N7/P1P1P3/3RK3 b - - 6 27", "c6c7"),
-    ("8/3P4/6k1/8/5p2/8/r7/7K w - - 1 49", "h1g1"),
-    ("8/5k2/2p5/2P5/1K6/8/8/2N5 b - - 6 42", "f7g8"),
-    ("8/8/1K3p1k/p7/8/Nn6/7P/5R2 w - - 5 41", "f1a1"),
-    ("8/8/8/3k4/7P/8/2P3P1/1R1NK3 w - - 9 51", "b1a1"),
-    ("Bnb2b1n/5p1p/4k3/p7/P7/1P1NP3/2P4R/RNB1K3 w - - 1 21", "b1a3"),
-    ("r1b1q2r/pp1pkpp1/4p2p/2p4n/1P2P2P/R4P2/1P1P2PR/1NBQKBN1 w - - 1 12", "d1e2"),
-    ("r1bqkb1r/1ppn1ppp/4p3/p2p4/3P1Pn1/2N3PN/PPP1P1BP/R1BQK2R w KQkq - 2 7", "f4f5"),
-    ("r3k1r1/p1pq1ppp/1p2p3/8/P6b/4PN1R/1PPP2P1/RNBQK3 w Qq - 0 11", "h3h4"),
-    ("r7/ppk3pr/7B/5p1p/P2N3P/1K6/1P5P/RN5R w - - 1 23", "b3c2"),
-    ("rn3k1r/p2p1pp1/4pn2/7p/8/P2P2P1/P3PP1N/R1B1KB1R w KQ - 1 12", "e2e4"),
-    ("rnb2bn1/pp1p1ppr/2p1k3/R3p2p/8/1P3P2/N1PPP1PP/2BQKBNR w K - 3 9", "g2g3"),
-    ("rq2k2r/p1p1pp2/2Pp2Bp/8/2N5/7P/P4K1P/b1BQ3R w kq - 0 17", "d1b3"),
-    ("2b2b1r/1p1pkpp1/nBnN3p/pP6/P3p3/3PPqPN/2PR3P/4KB1R b - - 5 22", "c6b8"),
-    ("rn1q2nr/2ppkp1p/p4b2/6Q1/P3b1BP/1p1PP1P1/1PPN1P2/R1BNK1R1 w Q - 0 19", "g5h5"),
-    ("r1bq1bnr/2nkp2p/1p1pp3/p5pB/P1p1P1QP/2P5/1P1P1PP1/1RBK2NR b - - 5 17", "c7b5"),
-    ("rnbq1kr1/1pp3pp/p4p1n/3p4/4pP2/PP1P2PP/2P1P3/RNBK1BNR w - - 0 12", "c1d2"),
-    ("r1bqk1nr/2ppppbp/ppn3p1/6P1/4P3/N6P/PPPPBP2/1RBQK1NR w Kk - 3 10", "g1f3"),
-    ("rnb1kqr1/pp1p2bp/3n3B/1PpPpp2/4P1P1/Q1P2N2/P4PP1/RN2KB1R w KQ - 1 16", "a3b4"),
-    ("r1b1qknr/p2pb2p/np2pp2/2p3p1/P4PPP/NPP2N2/3PP3/R1BQKB1R w K - 2 12", "a1b1"),
-    ("1nbkqbr1/2r3pn/3pp3/p4PPp/3P1B2/5P1N/PPP1B2P/R2QK1R1 b - - 7 20", "c7a7"),
-    ("rnb2bnR/pp1p1p1p/5k1R/2q1p3/1PpPPN2/8/P1P2PP1/RNBQKB2 b Q - 2 12", "f6g7"),
-    ("r1bqk1r1/3n1p2/1pB5/p2pp1pp/1bPp1P2/4P1nN/PP1Q2KP/RNB4R w q - 0 15", "d2d4"),
-    ("1nb4r/r1pqk2p/pp4pn/3Bp3/Qb2NP2/6PP/PPPP1R2/RNB2K2 w - - 1 19", "e4c3"),
-    ("rn2kbr1/pB2p2p/5ppn/1P5b/P1Ppp3/R4P2/3Q3P/2B1KNNR w Kq - 0 15", "f3e4"),
-    ("2bq1bn1/1p1ppk2/r1n2p1r/p1p3p1/P1P1P2p/RQ1P2PP/1P3P2/1NB1KBNR b K - 2 11", "f6f5"),
-    ("r1bqkb1r/pp1pp2p/B7/2p3p1/8/1nP1PNP1/PP1P2PP/RNB1K2R w KQkq - 0 11", "e1e2"),
-    ("rn3b2/1p1k1pr1/B4P2/p1p1p1pp/8/P1N1P2N/1PPP2PP/R1BK1R2 w - - 0 21", "g2g4"),
-    ("Bn1qkb1r/4p1pp/4rp1n/1pQp2Bb/p1P4P/3P2P1/PPNRPP2/2K3NR w k - 1 21", "c2b4"),
-    ("1n2kbn1/1pqbpp2/r1pp4/p5Pp/P2PP3/2PB1r2/1PQ3PP/RNB1KR2 b - - 4 18", "c7d8"),
-    ("3qkbnr/r3ppp1/ppnpb3/7p/P2p2P1/4PP1P/1PP2B2/RN1QKBNR b KQk - 2 11", "e6b3"),
-    ("r1b3nr/q2npk2/2p2N1p/pp1B1p2/1P1B2pP/3PP1P1/P1P2P2/R2QK2R b KQ - 4 16", "e7e6"),
-    ("rnbk1r2/p1pp1np1/3bpp2/6p1/p1P1PP2/1q6/2QP1RB1/RNB1K3 w Q - 0 18", "a1a3"),
-    ("1n3bk1/rb2p3/pPpp2p1/7p/3P2P1/1P4PR/PB2P3/1R1QKB2 w - - 0 23", "b6a7"),
-    ("1nb1qbnr/rp3kpp/p1p5/3pP1P1/5p2/P3P3/1PP2P1P/R1BQKB1R b K - 0 13", "h7h6"),
-    ("r1b1kb2/1ppp1p1r/4p2p/p1q2Pp1/Pn1P3P/N1P1B2R/QP1nP1P1/R3KBN1 w Qq - 9 15", "e3f2"),
-    ("r1q2bn1/n1pkpp1r/pp5p/4PP1P/PNPp4/RP3p2/3PQ2R/2B1KBN1 b - - 1 19", "h7g7"),
-    ("rnbqkbnr/2pp3p/1p3p2/p3p1pP/N1P3P1/PP5N/3PPP1R/R1BQKB2 b Qkq - 0 10", "f6f5"),
-    ("3rkbnr/3q1p1p/np1p2p1/p1p1pbN1/4P3/2NPQ3/PPP2PPP/R1BK1BR1 b k - 3 11", "g8e7"),
-    ("r2q3r/p2k1p2/1pb1Nn1p/2bpp3/P2P4/1P2B2N/1RP1P2P/5K1R w - - 2 20", "d4c5"),
-    ("2b3nr/rp1p1kp1/p1nbp2p/8/2pPP1P1/2N1qP2/PPP4P/R1BK1BNR b - d3 0 12", "d6f8"),
-    ("4k2r/rp2pp1p/n2pqn1b/p1pb2p1/PPPPP2P/R4P2/3NB3/2BQK1NR b k - 0 20", "h6f8"),
-    ("r1k3nb/pbp2p1r/n6p/1p1pp1p1/1P2P1P1/5P1N/P1PP1Q1P/RNB1K2R w - - 3 15", "e1d1"),
-    ("r3k2r/2q2n1p/1pp5/p4pp1/3Kp1PP/bPpQPN1B/2P2P2/RNB4R b kq - 3 19", "a3b2"),
-    ("5br1/pppqknpp/n4p2/3rpb2/2PP1PP1/1PN4B/P2KP2P/1RBQR3 w - - 6 19", "c3b5"),
-    ("2rq2nb/1B1n1p2/pp1k2pr/2p1pb1p/N1P1PP2/P5P1/1P1P3P/R1BKN2R b - - 5 21", "f7f6"),
-    ("r1bq1bnr/pp2p3/n2pk3/2p1Bp1P/3P4/4P3/PPP1KP1P/RNQ2BNR b - - 0 11", "d8c7"),
-    ("1rb1kb1r/1p3p1p/2pn1n2/qp1pP3/1P5p/5QPN/PBPP3R/1R1K1B2 w k - 4 21", "f1b5"),
-    ("2rqkbnr/2ppp1pp/b1n5/ppP3p1/Q3P1P1/N4P1P/PP1P3R/R1BK1B2 b k - 0 13", "e8f7"),
-    ("3q3r/r1pknpp1/p1n4p/Qb1Pp1P1/8/5P1R/PP1PP1P1/1RB1KBN1 b - - 0 14", "c6b8"),
-    ("2bk1bnr/1p5p/2Pr4/4pp1p/2pp1PP1/P1P5/3PP2N/RNBK1B1R b - - 0 17", "b7c6"),
-    ("3qkb1r/p1ppp3/b5Nn/1r3ppp/p1P1Q3/8/1P1NPPPP/R1B1KB1R w KQk - 6 13", "e4f4"),
-    ("1rbq3r/1ppppkb1/5p2/p2P2pp/4PPQ1/P1P2n2/1P2K1PP/RN3BNR w - - 1 16", "b2b4"),
-    ("2b1qbnr/1p2k3/1rppp1pp/3BP2P/p1n2Q2/P2P2PR/1PP5/RNB1K1N1 w Q - 3 17", "c2c3"),
-    ("r1bqkb1r/1p2ppp1/2pp1n1Q/p5Bp/4P2P/Pn1P3R/1PP1KPP1/RN3BN1 b kq - 1 11", "b3a1"),
-    ("5bn1/1pp3k1/5pr1/1P1PqbBp/2Bp4/N5pR/r1P5/R4KN1 w - - 0 23", "g5h6"),
-    ("r1b2b1r/2nnp1pp/1p2k1q1/p1P5/1p1PP3/P3p2P/RQ3P2/3KNR2 w - - 0 22", "b2b1"),
-]
-
-BOARDS_SQL = (
-    "b(pos_id, fen) AS (VALUES "
-    + ", ".join(f"({i}::BIGINT, '{f}')" for i, (f, _) in enumerate(BOARDS))
-    + "),\nx AS (SELECT pos_id, "
-    + "replace(" * 8
-    + "split_part(split_part(fen, ' ', 1), ' ', 1)"
-    + "".join(f", '{n}', '{'.' * n}')" for n in range(1, 9))
-    + " AS t FROM b),\nc AS (SELECT pos_id, (7 - i // 8) AS rank, i % 8 AS file, substr(replace(t, '/', ''), i + 1, 1) AS s FROM x, (SELECT unnest(range(0, 64))::INT AS i)),\n"
-    + "p AS (SELECT pos_id, rank * 8 + file AS sq, file, rank, lower(s) AS piece, upper(s) = s AS white FROM c WHERE s <> '.')"
-)
 _WORTH = "CASE piece WHEN 'p' THEN 1 WHEN 'n' THEN 3 WHEN 'b' THEN 3 WHEN 'r' THEN 5 WHEN 'q' THEN 9 ELSE 0 END"
 _ATTACKS = """,
-y AS (SELECT s.i AS sq, dx.d AS dx, dy.d AS dy, k.i AS step, (s.i % 8 + dx.d * k.i) + 8 * (s.i // 8 + dy.d * k.i) AS target
+y AS MATERIALIZED (SELECT s.i AS sq, dx.d AS dx, dy.d AS dy, k.i AS step, (s.i % 8 + dx.d * k.i) + 8 * (s.i // 8 + dy.d * k.i) AS target
       FROM (SELECT unnest(range(0, 64)) AS i) s, (SELECT unnest([-1, 0, 1]) AS d) dx, (SELECT unnest([-1, 0, 1]) AS d) dy, (SELECT unnest(range(1, 8)) AS i) k
       WHERE (dx.d <> 0 OR dy.d <> 0) AND s.i % 8 + dx.d * k.i BETWEEN 0 AND 7 AND s.i // 8 + dy.d * k.i BETWEEN 0 AND 7),
-l AS (SELECT p.*, y.dx, y.dy, t.sq AS target, t.piece AS t_piece, t.white AS t_white, row_number() OVER (PARTITION BY p.pos_id, p.sq, y.dx, y.dy ORDER BY y.step) AS nth
+l AS MATERIALIZED (SELECT p.*, y.dx, y.dy, t.sq AS target, t.piece AS t_piece, t.white AS t_white, row_number() OVER (PARTITION BY p.pos_id, p.sq, y.dx, y.dy ORDER BY y.step) AS nth
       FROM p JOIN y ON p.sq = y.sq JOIN p t ON t.pos_id = p.pos_id AND t.sq = y.target
       WHERE (p.piece IN ('r', 'q') AND abs(y.dx) + abs(y.dy) = 1) OR (p.piece IN ('b', 'q') AND abs(y.dx) + abs(y.dy) = 2)),
-a AS (SELECT pos_id, sq, piece, white, target, t_piece, t_white FROM l WHERE nth = 1
+a AS MATERIALIZED (SELECT pos_id, sq, piece, white, target, t_piece, t_white FROM l WHERE nth = 1
       UNION ALL SELECT p.pos_id, p.sq, p.piece, p.white, t.sq, t.piece, t.white FROM p JOIN p t ON p.pos_id = t.pos_id
       WHERE (p.piece = 'n' AND abs(t.file - p.file) * abs(t.rank - p.rank) = 2) OR (p.piece = 'k' AND greatest(abs(t.file - p.file), abs(t.rank - p.rank)) = 1)
          OR (p.piece = 'p' AND abs(t.file - p.file) = 1 AND t.rank - p.rank = CASE WHEN p.white THEN 1 ELSE -1 END))"""
 
 
-def boards(spark):
-    rows = [(i, f, m) for i, (f, m) in enumerate(BOARDS)]
-    return spark.createDataFrame(rows, "pos_id long, fen string, move string")
-
-
-def own(spark):
-    return B.pieces(boards(spark))
+def own(spark, sf_dir):
+    return B.pieces(boards(spark, sf_dir))
 
 
 @query(
@@ -157,7 +38,7 @@ def own(spark):
     FROM (SELECT pos_id, rank, string_agg(' ' || s || ' ', '' ORDER BY file) AS cells FROM c GROUP BY pos_id, rank) GROUP BY pos_id""",
 )
 def render_board(spark, sf_dir):
-    return boards(spark).select("pos_id", F.md5(T.render_board(F.col("fen"))).alias("board"))
+    return boards(spark, sf_dir).select("pos_id", F.md5(T.render_board(F.col("fen"))).alias("board"))
 
 
 @query(
@@ -167,20 +48,22 @@ def render_board(spark, sf_dir):
 )
 def fen_fields(spark, sf_dir):
     f = F.col("fen")
-    return boards(spark).select(
+    return boards(spark, sf_dir).select(
         "pos_id", T.fen_key(f).alias("key"), T.side_to_move(f).alias("side"), F.split_part(f, F.lit(" "), F.lit(6)).cast("int").alias("fullmove")
     )
 
 
 @query(
     "uci_vocabulary",
-    """WITH s AS (SELECT chr((97 + i % 8)::INT) || (1 + i // 8) AS n, i // 8 AS r, i % 8 AS f FROM (SELECT unnest(range(0, 64)) AS i))
-    SELECT a.n || b.n AS move FROM s a, s b WHERE a.n <> b.n
-    UNION ALL SELECT a.n || b.n || q FROM s a, s b, (SELECT unnest(['q', 'r', 'b', 'n']) AS q) WHERE a.n <> b.n AND b.r IN (0, 7)""",
+    f"""WITH {PLAYED_SQL}, s AS (SELECT chr((97 + i % 8)::INT) || (1 + i // 8) AS n, i // 8 AS r, i % 8 AS f FROM (SELECT unnest(range(0, 64)) AS i)),
+    v AS (SELECT a.n || b.n AS move FROM s a, s b WHERE a.n <> b.n
+    UNION ALL SELECT a.n || b.n || q FROM s a, s b, (SELECT unnest(['q', 'r', 'b', 'n']) AS q) WHERE a.n <> b.n AND b.r IN (0, 7))
+    SELECT v.move, coalesce(uses, 0) AS uses FROM v LEFT JOIN u ON u.move = v.move""",
 )
 def uci_vocabulary(spark, sf_dir):
-    """Every ordered pair of squares, and promotions on the last ranks."""
-    return vocabulary(spark)
+    """Every ordered pair of squares, and promotions on the last ranks, with how often they
+    are played."""
+    return vocabulary(spark).join(played(spark, sf_dir), "move", "left").na.fill(0, ["uses"]).select("move", "uses")
 
 
 def vocabulary(spark):
@@ -199,7 +82,7 @@ def vocabulary(spark):
 )
 def material(spark, sf_dir):
     v = B.worth(F.col("piece"))
-    return own(spark).groupBy("pos_id").agg(
+    return own(spark, sf_dir).groupBy("pos_id").agg(
         F.sum(F.when(F.col("white"), v).otherwise(0)).cast("int").alias("white"),
         F.sum(F.when(~F.col("white"), v).otherwise(0)).cast("int").alias("black"),
         F.count("*").alias("pieces"),
@@ -212,7 +95,7 @@ def material(spark, sf_dir):
     SELECT pos_id, white, count(DISTINCT island)::BIGINT AS islands FROM g GROUP BY pos_id, white""",
 )
 def pawn_islands(spark, sf_dir):
-    f = own(spark).filter("piece = 'p'").select("pos_id", "white", "file").distinct()
+    f = own(spark, sf_dir).filter("piece = 'p'").select("pos_id", "white", "file").distinct()
     island = F.col("file") - F.row_number().over(Window.partitionBy("pos_id", "white").orderBy("file"))
     return f.withColumn("i", island).groupBy("pos_id", "white").agg(F.countDistinct("i").alias("islands"))
 
@@ -224,7 +107,7 @@ def pawn_islands(spark, sf_dir):
 )
 def isolated_pawn(spark, sf_dir):
     """The most advanced pawn without a friend on a neighbouring file."""
-    w = own(spark).filter("piece = 'p'")
+    w = own(spark, sf_dir).filter("piece = 'p'")
     o = w.select("pos_id", "white", F.col("file").alias("of"))
     alone = w.join(o, (w.pos_id == o.pos_id) & (w.white == o.white) & (F.abs(o.of - w.file) == 1), "left_anti")
     key = F.when(F.col("white"), -F.col("rank")).otherwise(F.col("rank")) * 100 + F.col("file")
@@ -236,7 +119,7 @@ def isolated_pawn(spark, sf_dir):
     f"WITH {BOARDS_SQL} SELECT pos_id, white, min(file)::INT AS file FROM (SELECT pos_id, white, file FROM p WHERE piece = 'p' GROUP BY ALL HAVING count(*) >= 2) GROUP BY pos_id, white",
 )
 def doubled_pawn(spark, sf_dir):
-    n = own(spark).filter("piece = 'p'").groupBy("pos_id", "white", "file").agg(F.count("*").alias("n"))
+    n = own(spark, sf_dir).filter("piece = 'p'").groupBy("pos_id", "white", "file").agg(F.count("*").alias("n"))
     return n.filter("n >= 2").groupBy("pos_id", "white").agg(F.min("file").alias("file"))
 
 
@@ -247,7 +130,7 @@ def doubled_pawn(spark, sf_dir):
 )
 def passed_pawn(spark, sf_dir):
     """No enemy pawn ahead on its file or beside it."""
-    w = own(spark).filter("piece = 'p'")
+    w = own(spark, sf_dir).filter("piece = 'p'")
     o = w.select("pos_id", F.col("white").alias("ow"), F.col("file").alias("of"), F.col("rank").alias("orank"))
     ahead = F.when(w.white, F.col("orank") > F.col("rank")).otherwise(F.col("orank") < F.col("rank"))
     block = (w.pos_id == o.pos_id) & (o.ow != w.white) & (F.abs(o.of - w.file) <= 1) & ahead
@@ -261,8 +144,8 @@ def passed_pawn(spark, sf_dir):
     SELECT pos_id, file, CASE WHEN coalesce(w, 0) + coalesce(k, 0) = 0 THEN 'open' WHEN coalesce(w, 0) = 0 THEN 'half-open white' ELSE 'half-open black' END AS kind FROM n WHERE coalesce(w, 0) = 0 OR coalesce(k, 0) = 0""",
 )
 def open_files(spark, sf_dir):
-    files = boards(spark).select("pos_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("file"))
-    n = own(spark).filter("piece = 'p'").groupBy("pos_id", "file").agg(
+    files = boards(spark, sf_dir).select("pos_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("file"))
+    n = own(spark, sf_dir).filter("piece = 'p'").groupBy("pos_id", "file").agg(
         F.max(F.col("white").cast("int")).alias("w"), F.max((~F.col("white")).cast("int")).alias("k")
     )
     n = files.join(n, ["pos_id", "file"], "left").na.fill(0, ["w", "k"])
@@ -276,20 +159,20 @@ def open_files(spark, sf_dir):
     SELECT pos_id, white, CASE WHEN q > k THEN 'queenside' ELSE 'kingside' END AS wing FROM n WHERE abs(q - k) >= 2""",
 )
 def pawn_majority(spark, sf_dir):
-    n = own(spark).filter("piece = 'p'").groupBy("pos_id", "white").agg(F.count_if(F.col("file") <= 3).alias("q"), F.count_if(F.col("file") >= 4).alias("k"))
+    n = own(spark, sf_dir).filter("piece = 'p'").groupBy("pos_id", "white").agg(F.count_if(F.col("file") <= 3).alias("q"), F.count_if(F.col("file") >= 4).alias("k"))
     return n.filter(F.abs(F.col("q") - F.col("k")) >= 2).select("pos_id", "white", F.when(F.col("q") > F.col("k"), "queenside").otherwise("kingside").alias("wing"))
 
 
 @query("bishop_pair", f"WITH {BOARDS_SQL} SELECT pos_id, white FROM p WHERE piece = 'b' GROUP BY ALL HAVING count(*) >= 2")
 def bishop_pair(spark, sf_dir):
-    n = own(spark).filter("piece = 'b'").groupBy("pos_id", "white").agg(F.count("*").alias("n"))
+    n = own(spark, sf_dir).filter("piece = 'b'").groupBy("pos_id", "white").agg(F.count("*").alias("n"))
     return n.filter("n >= 2").select("pos_id", "white")
 
 
 @query("rook_on_seventh", f"WITH {BOARDS_SQL} SELECT DISTINCT pos_id, white FROM p WHERE piece = 'r' AND rank = CASE WHEN white THEN 6 ELSE 1 END")
 def rook_on_seventh(spark, sf_dir):
     seventh = F.when(F.col("white"), 6).otherwise(1)
-    return own(spark).filter((F.col("piece") == "r") & (F.col("rank") == seventh)).select("pos_id", "white").distinct()
+    return own(spark, sf_dir).filter((F.col("piece") == "r") & (F.col("rank") == seventh)).select("pos_id", "white").distinct()
 
 
 @query(
@@ -300,7 +183,7 @@ def rook_on_seventh(spark, sf_dir):
 )
 def exposed_king(spark, sf_dir):
     """Fewer than two pawns on the three squares before the king."""
-    p = own(spark)
+    p = own(spark, sf_dir)
     k = p.filter("piece = 'k'").select("pos_id", "white", F.col("file").alias("kf"), (F.col("rank") + F.when(F.col("white"), 1).otherwise(-1)).alias("sr"))
     s = p.filter("piece = 'p'").select("pos_id", "white", "file", "rank")
     near = k.join(s, ["pos_id", "white"], "left")
@@ -315,7 +198,7 @@ def exposed_king(spark, sf_dir):
 def development(spark, sf_dir):
     home = F.col("rank") == F.when(F.col("white"), 0).otherwise(7)
     minor = ((F.col("piece") == "n") & F.col("file").isin(1, 6)) | ((F.col("piece") == "b") & F.col("file").isin(2, 5))
-    return own(spark).filter(home & minor).groupBy("pos_id", "white").agg(F.count("*").alias("undeveloped"))
+    return own(spark, sf_dir).filter(home & minor).groupBy("pos_id", "white").agg(F.count("*").alias("undeveloped"))
 
 
 @query(
@@ -324,7 +207,7 @@ def development(spark, sf_dir):
     SELECT p.pos_id, p.sq::INT AS sq, p.piece, p.white FROM p JOIN h ON h.pos_id = p.pos_id AND h.target = p.sq WHERE hit = 1 AND guarded = 0 AND piece <> 'k'""",
 )
 def hanging_pieces(spark, sf_dir):
-    return B.loose(spark, own(spark)).select("pos_id", F.col("sq").cast("int").alias("sq"), "piece", "white")
+    return B.loose(spark, own(spark, sf_dir)).select("pos_id", F.col("sq").cast("int").alias("sq"), "piece", "white")
 
 
 @query(
@@ -333,7 +216,7 @@ def hanging_pieces(spark, sf_dir):
 )
 def attack_counts(spark, sf_dir):
     same = F.col("white") == F.col("t_white")
-    return B.attacks(spark, own(spark)).groupBy("pos_id", "white").agg(F.count_if(~same).alias("hits"), F.count_if(same).alias("guards"))
+    return B.attacks(spark, own(spark, sf_dir)).groupBy("pos_id", "white").agg(F.count_if(~same).alias("hits"), F.count_if(same).alias("guards"))
 
 
 @query(
@@ -342,16 +225,16 @@ def attack_counts(spark, sf_dir):
 )
 def fork_targets(spark, sf_dir):
     """Pieces that hit two or more enemies worth three or more."""
-    hit = B.attacks(spark, own(spark)).filter((F.col("white") != F.col("t_white")) & F.col("t_piece").isin("n", "b", "r", "q"))
+    hit = B.attacks(spark, own(spark, sf_dir)).filter((F.col("white") != F.col("t_white")) & F.col("t_piece").isin("n", "b", "r", "q"))
     return hit.groupBy("pos_id", F.col("sq").cast("int").alias("sq")).agg(F.count("*").alias("targets")).filter("targets >= 2")
 
 
 _LINE = "f AS (SELECT pos_id, sq, white, dx, dy, max(CASE WHEN nth = 1 THEN t_piece END) AS p1, max(CASE WHEN nth = 1 THEN t_white::INT END) AS w1, max(CASE WHEN nth = 2 THEN t_piece END) AS p2, max(CASE WHEN nth = 2 THEN t_white::INT END) AS w2, max(CASE WHEN nth = 1 THEN target END) AS t1 FROM l GROUP BY ALL)"
 
 
-def _lines(spark):
+def _lines(spark, sf_dir):
     nth = lambda n, c: F.max(F.when(F.col("nth") == n, c))
-    return B.sights(spark, own(spark)).groupBy("pos_id", "sq", "white", "dx", "dy").agg(
+    return B.sights(spark, own(spark, sf_dir)).groupBy("pos_id", "sq", "white", "dx", "dy").agg(
         nth(1, F.col("t_piece")).alias("p1"),
         nth(1, F.col("t_white")).alias("w1"),
         nth(2, F.col("t_piece")).alias("p2"),
@@ -369,7 +252,7 @@ def skewer(spark, sf_dir):
     """Two enemies in a line of sight, the front one the king or worth no less."""
     front = (F.col("p1") == "k") | (B.worth(F.col("p1")) >= B.worth(F.col("p2")))
     both = (F.col("w1") != F.col("white")) & (F.col("w2") != F.col("white"))
-    return _lines(spark).filter(both & front).select("pos_id", F.col("sq").cast("int").alias("sq")).distinct()
+    return _lines(spark, sf_dir).filter(both & front).select("pos_id", F.col("sq").cast("int").alias("sq")).distinct()
 
 
 @query(
@@ -378,7 +261,7 @@ def skewer(spark, sf_dir):
 )
 def xray(spark, sf_dir):
     hit = (F.col("w2") != F.col("white")) & F.col("p2").isin("k", "q")
-    return _lines(spark).filter(hit).select("pos_id", F.col("sq").cast("int").alias("sq")).distinct()
+    return _lines(spark, sf_dir).filter(hit).select("pos_id", F.col("sq").cast("int").alias("sq")).distinct()
 
 
 @query(
@@ -388,44 +271,79 @@ def xray(spark, sf_dir):
 def pinned_pieces(spark, sf_dir):
     """The front of two enemies in a line of sight, the king behind it."""
     pin = (F.col("w1") != F.col("white")) & (F.col("w2") != F.col("white")) & (F.col("p2") == "k") & (F.col("p1") != "k")
-    return _lines(spark).filter(pin).select("pos_id", F.col("t1").cast("int").alias("sq")).distinct()
+    return _lines(spark, sf_dir).filter(pin).select("pos_id", F.col("t1").cast("int").alias("sq")).distinct()
+
+
+# -- with the rules (table functions; no SQL) ---------------------------------------
+
 
+def played_games(spark, sf_dir):
+    """``game_id, movetext``: a game a customer, whose orders pick the moves, with numbers,
+    a clock now and then, and the result."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("pos_id"))
+    o = o.agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("o"), F.max("o_orderstatus").alias("status"))
+    o = o.select("pos_id", F.lit(START).alias("fen"), F.col("o.o_orderkey").alias("picks"), "status")
+    g = tables.play(o).join(o.select("pos_id", "status"), "pos_id")
+    number = lambda i: F.when(i % 2 == 0, F.concat((F.floor(i / 2) + 1).cast("string"), F.lit(". "))).otherwise("")
+    clock = lambda i: F.when(i % 5 == 4, " { [%clk 0:05:00] }").otherwise("")
+    moves = F.array_join(F.transform("sans", lambda m, i: F.concat(number(i), m, clock(i))), " ")
+    result = F.when(F.col("status") == "F", " 1-0").when(F.col("status") == "O", " 0-1").otherwise(" 1/2-1/2")
+    return g.select(F.col("pos_id").alias("game_id"), F.concat(moves, result).alias("movetext"))
 
-# -- with the rules (tables functions; no SQL) --------------------------------------
 
-GAMES = [
-    (1, "1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Ba4 Nf6 5. O-O Be7 6. Re1 b5 7. Bb3 d6 1-0"),
-    (2, "1. d4 { [%clk 0:05:00] } d5 2. c4 e6 3. Nc3 Nf6 4. Bg5 Be7 5. e3 O-O 6. Nf3 Nbd7 1/2-1/2"),
-    (3, "1. e4 c5 2. Nf3 d6 3. d4 cxd4 4. Nxd4 Nf6 5. Nc3 a6 6. Qxh9 e5 0-1"),
-]
-PUZZLES = [(1, "4k3/8/8/8/8/8/4Q3/4K3 b - - 0 1", "e8d8 e2e7 d8e7"), (2, "3qk2r/8/8/6N1/8/8/8/4K3 b k - 0 1", "d8d7 g5f7 d7f7")]
+def puzzles(spark, sf_dir):
+    """``game_id, fen, moves``: four moves from a part's board."""
+    b = boards(spark, sf_dir).withColumn("picks", F.array(*[F.col("pos_id") * k + k for k in (1, 3, 7, 11)]))
+    return tables.play(b).select(F.col("pos_id").alias("game_id"), "fen", F.array_join("ucis", " ").alias("moves"))
 
 
 @query("game_positions")
 def game_positions(spark, sf_dir):
-    g = spark.createDataFrame(GAMES, "game_id long, movetext string")
-    return tables.game_positions(g, skip_first=2, skip_last=1, rate=0.8)
+    return tables.game_positions(played_games(spark, sf_dir), skip_first=2, skip_last=1, rate=0.5)
 
 
 @query("puzzle_positions")
 def puzzle_positions(spark, sf_dir):
-    return tables.puzzle_positions(spark.createDataFrame(PUZZLES, "game_id long, fen string, moves string"))
+    return tables.puzzle_positions(puzzles(spark, sf_dir))
+
+
+@query("game_opening_positions")
+def game_opening_positions(spark, sf_dir):
+    """Positions of games with the line of the book that leads to them: the book is the games
+    that were won, by customer."""
+    g = played_games(spark, sf_dir)
+    won = g.filter(F.col("movetext").endswith("1-0")).select(F.lit("A00").alias("eco"), F.concat(F.lit("Line "), "game_id").alias("name"), F.col("movetext").alias("line"), "game_id")
+    book = tables.opening_book(won, "game_id")
+    p = tables.game_positions(g, skip_first=1, skip_last=0, rate=1.0).select("game_id", "ply", T.fen_key(F.col("fen")).alias("key"))
+    return p.join(book.select("key", "name", "length"), "key", "left").select("game_id", "ply", "name", "length")
+
+
+def _moved(spark, sf_dir):
+    """Boards with their legal moves, and one of them by the board's number."""
+    found = tables.legal_moves(boards(spark, sf_dir)).filter(F.size("legal") > 0)
+    at = F.col("pos_id") * 31 % F.size("legal")
+    return found.withColumn("move", F.get("legal", at.cast("int"))).withColumn("at", at.cast("int"))
 
 
 @query("position_features")
 def position_features(spark, sf_dir):
-    return tables.features(boards(spark))
+    return tables.features(_moved(spark, sf_dir))
+
+
+@query("position_legal_moves")
+def position_legal_moves(spark, sf_dir):
+    """Legal moves of the boards in both notations."""
+    found = tables.legal_moves(boards(spark, sf_dir))
+    return found.select("pos_id", F.array_join("legal", " ").alias("legal"), F.array_join("sans", " ").alias("sans"))
 
 
 @query("reasoning_traces")
 def reasoning_traces(spark, sf_dir):
     """A trace for every board, its move against two others of the legal ones."""
-    from rookery.board.rules import Position
     from rookery.board.trace import traces
 
-    rows = []
-    for i, (fen, move) in enumerate(BOARDS):
-        others = [m for m in Position(fen).legal_moves() if m != move][:2]
-        rows.append((i, fen, move, [(move, 40), *((m, 10 - 160 * k) for k, m in enumerate(others))]))
-    schema = "pos_id long, fen string, target string, candidates array<struct<uci: string, cp: int>>"
-    return traces(spark.createDataFrame(rows, schema))
+    m = _moved(spark, sf_dir)
+    others = F.slice(F.array_except("legal", F.array("move")), 1, 2)
+    scored = F.transform(others, lambda u, k: F.struct(u.alias("uci"), (10 - 160 * k).cast("int").alias("cp")))
+    first = F.array(F.struct(F.col("move").alias("uci"), F.lit(40).alias("cp")))
+    return traces(m.select("pos_id", "fen", F.col("move").alias("target"), F.concat(first, scored).alias("candidates")))

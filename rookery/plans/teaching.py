@@ -11,7 +11,7 @@ from rookery.operators import teacher
 from rookery.plans.boards import vocabulary
 from rookery.plans.catalogue import query
 from rookery.plans.sampling import _u
-from rookery.plans.stand_ins import GAMES_SQL, MOVES_SQL, RANKED_SQL, games, moves, ranked
+from rookery.plans.stand_ins import GAMES_SQL, MOVES_SQL, PLAYED_SQL, RANKED_SQL, games, moves, played, ranked
 from rookery.sources.readers import table
 
 _PASSES = f"""{MOVES_SQL}, d AS (SELECT pos_id, move, max(cp) AS cp, max(legal) AS legal FROM m GROUP BY pos_id, move),
@@ -75,9 +75,9 @@ def combined_distillation_loss(spark, sf_dir):
     return e.select("vec_id", F.round("l.soft", 5).alias("soft"), F.round("l.hard", 5).alias("hard"), F.round("l.total", 4).alias("total"))
 
 
-_VOCABULARY = """s AS (SELECT chr((97 + i % 8)::INT) || (1 + i // 8) AS n, i // 8 AS r FROM (SELECT unnest(range(0, 64)) AS i)),
+_VOCABULARY = f"""{PLAYED_SQL}, s AS (SELECT chr((97 + i % 8)::INT) || (1 + i // 8) AS n, i // 8 AS r FROM (SELECT unnest(range(0, 64)) AS i)),
 v AS (SELECT a.n || b.n AS move FROM s a, s b WHERE a.n <> b.n UNION ALL SELECT a.n || b.n || q FROM s a, s b, (SELECT unnest(['q', 'r', 'b', 'n']) AS q) WHERE a.n <> b.n AND b.r IN (0, 7)),
-t AS (SELECT move, CASE WHEN len(move) = 5 THEN 2 ELSE 1 END AS n_ids, CASE WHEN substr(move, 1, 1) = 'h' THEN 0 ELSE ascii(move) * 10000 + substr(move, 2, 1)::INT * 1000 + ascii(substr(move, 3, 1)) * 10 + substr(move, 4, 1)::INT END AS id FROM v)"""
+t AS (SELECT move, CASE WHEN len(move) = 5 THEN 2 ELSE 1 END AS n_ids, CASE WHEN substr(move, 1, 1) = 'h' THEN 0 ELSE ascii(move) * 10000 + substr(move, 2, 1)::INT * 1000 + ascii(substr(move, 3, 1)) * 10 + substr(move, 4, 1)::INT END AS id, coalesce(uses, 0) AS uses FROM v LEFT JOIN u USING (move))"""
 
 
 def _ids():
@@ -88,18 +88,23 @@ def _ids():
     return F.when(F.length("move") == 5, F.array(first, F.lit(1))).otherwise(F.array(first))
 
 
-@query("single_token_moves", f"WITH {_VOCABULARY} SELECT move, id FROM t WHERE n_ids = 1 AND id <> 0")
+def _used(spark, sf_dir):
+    return vocabulary(spark).join(played(spark, sf_dir), "move", "left").na.fill(0, ["uses"]).withColumn("ids", _ids())
+
+
+@query("single_token_moves", f"WITH {_VOCABULARY} SELECT move, id, uses FROM t WHERE n_ids = 1 AND id <> 0")
 def single_token_moves(spark, sf_dir):
-    """Moves that are one token, and not the unknown one."""
-    v = vocabulary(spark).withColumn("ids", _ids())
-    return v.filter((F.size("ids") == 1) & (F.col("ids")[0] != 0)).select("move", F.col("ids")[0].alias("id"))
+    """Moves that are one token, and not the unknown one, with how often they are played."""
+    v = _used(spark, sf_dir)
+    return v.filter((F.size("ids") == 1) & (F.col("ids")[0] != 0)).select("move", F.col("ids")[0].alias("id"), "uses")
 
 
-@query("vocabulary_coverage", f"WITH {_VOCABULARY} SELECT left(move, 1) AS file, count(*) AS n, count(*) FILTER (WHERE n_ids = 1 AND id <> 0) AS covered FROM t GROUP BY 1")
+@query("vocabulary_coverage", f"WITH {_VOCABULARY} SELECT left(move, 1) AS file, count(*) AS n, count(*) FILTER (WHERE n_ids = 1 AND id <> 0) AS covered, sum(CASE WHEN n_ids = 1 AND id <> 0 THEN uses ELSE 0 END)::BIGINT AS covered_uses FROM t GROUP BY 1")
 def vocabulary_coverage(spark, sf_dir):
-    v = vocabulary(spark).withColumn("ids", _ids())
+    """Moves of each file that are one token, and how often such moves are played."""
     one = (F.size("ids") == 1) & (F.col("ids")[0] != 0)
-    return v.groupBy(F.substring("move", 1, 1).alias("file")).agg(F.count("*").alias("n"), F.count(F.when(one, 1)).alias("covered"))
+    by_file = _used(spark, sf_dir).groupBy(F.substring("move", 1, 1).alias("file"))
+    return by_file.agg(F.count("*").alias("n"), F.count(F.when(one, 1)).alias("covered"), F.sum(F.when(one, F.col("uses")).otherwise(0)).alias("covered_uses"))
 
 
 @query(
@@ -210,7 +215,7 @@ def preprocess_statistics(spark, sf_dir):
 def preprocess_with_eval(spark, sf_dir):
     """Drawn positions that the teacher knows, with what their targets lose as weight."""
     drawn = _preprocessed(spark, sf_dir).filter("source = 'game'").select("id")
-    r = ranked(spark, sf_dir)
+    r = ranked(spark, sf_dir, drawn.select(F.col("id").alias("pos_id")))  # only moves of what was drawn are ranked
     e = r.groupBy("pos_id").agg(F.max(F.when(F.col("rank") == 1, F.col("cp"))).alias("best_score_cp"), F.max("move").alias("target"))
     z = r.join(e, "pos_id").filter("move = target").groupBy("pos_id", "best_score_cp")
     z = z.agg(F.min("rank").cast("int").alias("target_rank"), F.min("cp_loss").alias("target_cp_loss"))

@@ -4,7 +4,16 @@ import pytest
 
 from rookery.board.motifs import cues, hanging, motifs
 from rookery.board.rules import START, Position, name_of, perft
-from rookery.plans.boards import BOARDS
+from rookery.plans.stand_ins import boards
+
+
+@pytest.fixture(scope="module")
+def fens(spark, data):
+    """Boards of the smallest tables in which the side that has moved is not in check."""
+    found = [r["fen"] for r in boards(spark, data).orderBy("pos_id").collect()]
+    out = [f for f in found if not Position(f).in_check(not Position(f).white)]
+    assert len(out) > 20
+    return out
 
 
 @pytest.mark.parametrize(
@@ -20,8 +29,8 @@ def test_perft(fen, counts):
     assert [perft(Position(fen), d + 1) for d in range(len(counts))] == counts
 
 
-def test_san_round_trip():
-    for fen, _ in BOARDS:
+def test_san_round_trip(fens):
+    for fen in fens:
         p = Position(fen)
         for uci in p.legal_moves():
             assert p.parse_san(p.san(uci)) == uci
@@ -76,13 +85,13 @@ def test_hanging():
     assert [name_of(s) for s in hanging(p)] == ["d2"]
 
 
-def test_relational_attacks_agree_with_the_rules(spark):
+def test_relational_attacks_agree_with_the_rules(spark, fens):
     from rookery.board.features import attacks, pieces
 
-    rows = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(BOARDS)], "pos_id long, fen string")
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(fens)], "pos_id long, fen string")
     mine = {tuple(r) for r in attacks(spark, pieces(rows)).select("pos_id", "sq", "target").collect()}
     want = set()
-    for i, (f, _) in enumerate(BOARDS):
+    for i, f in enumerate(fens):
         p = Position(f)
         for s, c in enumerate(p.board):
             if c != ".":
