@@ -45,9 +45,47 @@ def responses(spark):
     return spark.createDataFrame(RESPONSES, "kind int, response string, target string, legal string")
 
 
-@query("extract_uci", f"WITH {_JUDGED} SELECT kind, predicted, has_tag, legal_loose, correct_loose FROM k")
+#: Conversations' turns as responses of seven kinds, around moves that their numbers give.
+TURN_RESPONSES_SQL = """mv AS (SELECT conv_id, turn, coalesce(text, '') AS text, (conv_id + turn) % 7 AS kind,
+  chr((97 + conv_id % 8)::INT) || (1 + turn % 8) || chr((97 + (conv_id + 3) % 8)::INT) || (1 + (conv_id + turn) % 8) AS a, chr((97 + turn % 8)::INT) || (1 + conv_id % 8) || 'h4' AS b FROM conversations),
+v AS (SELECT conv_id, turn, b AS target, a || ' ' || b || ' ' || a || 'q' AS legal, CASE kind
+  WHEN 0 THEN '<think>  ' || text || chr(10) || '</think>' || chr(10) || '<uci_move>' || a || '</uci_move>' WHEN 1 THEN 'I would play ' || a || ' or maybe ' || upper(b) WHEN 2 THEN text
+  WHEN 3 THEN '<uci_move> ' || a || 'q </uci_move>' WHEN 4 THEN '<uci_move>a1a9</uci_move>' WHEN 5 THEN '<uci_move>' || a || '</uci_move> then ' || b || ' <THINK>' || text || '</THINK>' ELSE '' END AS response FROM mv)"""
+
+
+def turn_responses(spark, sf_dir):
+    """``conv_id, turn, response, target, legal`` of each turn."""
+    c, t = F.col("conv_id"), F.col("turn")
+    file = lambda x: F.char(97 + x % 8)
+    rank = lambda x: (1 + x % 8).cast("string")
+    v = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), ((c + t) % 7).alias("kind"),
+        F.concat(file(c), rank(t), file(c + 3), rank(c + t)).alias("a"), F.concat(file(t), rank(c), F.lit("h4")).alias("b"),
+    )
+    kinds = [
+        F.concat(F.lit("<think>  "), "text", F.lit("\n</think>\n<uci_move>"), "a", F.lit("</uci_move>")),
+        F.concat(F.lit("I would play "), "a", F.lit(" or maybe "), F.upper("b")),
+        F.col("text"),
+        F.concat(F.lit("<uci_move> "), "a", F.lit("q </uci_move>")),
+        F.lit("<uci_move>a1a9</uci_move>"),
+        F.concat(F.lit("<uci_move>"), "a", F.lit("</uci_move> then "), "b", F.lit(" <THINK>"), "text", F.lit("</THINK>")),
+    ]
+    response = F.lit("")
+    for i, k in enumerate(kinds):
+        response = F.when(F.col("kind") == i, k).otherwise(response)
+    return v.select("conv_id", "turn", F.col("b").alias("target"), F.concat("a", F.lit(" "), "b", F.lit(" "), "a", F.lit("q")).alias("legal"), response.alias("response"))
+
+
+_TURNS_JUDGED = f"""{TURN_RESPONSES_SQL},
+j AS (SELECT *, {_SQL_MOVE} AS predicted, coalesce(contains(response, '<uci_move>') AND contains(response, '</uci_move>'), false) AS has_tag FROM v)"""
+
+
+@query(
+    "extract_uci",
+    f"""WITH {_TURNS_JUDGED} SELECT conv_id, turn, predicted, has_tag, coalesce(list_contains(string_split(legal, ' '), predicted), false) AS legal_loose, coalesce(predicted = target, false) AS correct_loose FROM j""",
+)
 def extract_uci(spark, sf_dir):
-    return metrics.judged(responses(spark)).select("kind", "predicted", "has_tag", "legal_loose", "correct_loose")
+    return metrics.judged(turn_responses(spark, sf_dir)).select("conv_id", "turn", "predicted", "has_tag", "legal_loose", "correct_loose")
 
 
 _EVAL = f"""WITH {MOVES_SQL}, {_JUDGED},

@@ -6,25 +6,32 @@ from pyspark.sql import functions as F
 
 from rookery.functions import text as T
 from rookery.plans.catalogue import query
-from rookery.plans.evaluation import RESPONSES_SQL, responses
+from rookery.plans.evaluation import TURN_RESPONSES_SQL, turn_responses
 from rookery.plans.stand_ins import RANKED_SQL, ranked
 from rookery.sources.readers import table
 
-MOVETEXTS = [
-    "1. e4 { [%clk 0:05:00] } e5 { [%clk 0:05:00] } 2. Nf3",
-    "1. e4 e5 2. Nf3 1-0",
-    "1. d4! d5? 2. c4!? e6 3. Nc3 1/2-1/2",
-    "1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Ba4 Nf6 5. O-O Be7 *",
-    "",
-    "1... c5 2. d4",
-]
+#: Games as texts: a move a line, with numbers, clocks, remarks and a result.
+_MOVETEXT_SQL = """g AS (SELECT l_orderkey AS id, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey) AS of,
+  substr('NBRQK', (l_suppkey % 5)::INT + 1, 1) || chr((97 + l_partkey % 8)::INT) || (1 + l_suppkey % 8) || CASE (l_quantity::INT) % 5 WHEN 0 THEN '!' WHEN 1 THEN '?!' ELSE '' END AS move,
+  CASE WHEN l_discount > 0.07 THEN ' { [%clk 0:05:0' || (l_partkey % 10) || '] }' ELSE '' END AS clock FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount)),
+h AS (SELECT id, string_agg(CASE WHEN n % 2 = 1 THEN ((n + 1) // 2) || '. ' WHEN n = 4 THEN '2... ' ELSE '' END || move || clock, ' ' ORDER BY n) AS moves FROM g GROUP BY id),
+t AS (SELECT h.id, moves || CASE o_orderstatus WHEN 'F' THEN ' 1-0' WHEN 'O' THEN ' 0-1' WHEN 'P' THEN ' 1/2-1/2' ELSE ' *' END AS movetext FROM h JOIN orders ON o_orderkey = h.id)"""
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-_MOVETEXT_SQL = "t(id, movetext) AS (VALUES " + ", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(MOVETEXTS)) + ")"
+def _movetexts(spark, sf_dir):
+    m = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int") % 5
+    remark = F.when(q == 0, "!").when(q == 1, "?!").otherwise("")
+    piece = F.substring(F.lit("NBRQK"), (F.col("l_suppkey") % 5).cast("int") + 1, F.lit(1))
+    move = F.concat(piece, F.char(97 + F.col("l_partkey") % 8), (1 + F.col("l_suppkey") % 8).cast("string"), remark)
+    clock = F.when(F.col("l_discount") > 0.07, F.concat(F.lit(" { [%clk 0:05:0"), (F.col("l_partkey") % 10).cast("string"), F.lit("] }"))).otherwise("")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", F.concat(move, clock).alias("move"))
+    g = m.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("m"))
+    number = lambda i: F.when(i % 2 == 0, F.concat((F.floor(i / 2) + 1).cast("string"), F.lit(". "))).when(i == 3, "2... ").otherwise("")
+    moves = F.array_join(F.transform("m.move", lambda x, i: F.concat(number(i), x)), " ")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"))
+    result = F.when(F.col("s") == "F", " 1-0").when(F.col("s") == "O", " 0-1").when(F.col("s") == "P", " 1/2-1/2").otherwise(" *")
+    return g.select("id", moves.alias("moves")).join(o, "id").select("id", F.concat("moves", result).alias("movetext"))
 
 
 @query(
@@ -34,16 +41,15 @@ _MOVETEXT_SQL = "t(id, movetext) AS (VALUES " + ", ".join(f"({i}, {_quoted(t)})"
     SELECT id, array_to_string(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''), ' ') AS moves FROM d""",
 )
 def parse_movetext(spark, sf_dir):
-    t = spark.createDataFrame(list(enumerate(MOVETEXTS)), "id int, movetext string")
-    return t.select("id", F.array_join(T.parse_movetext(F.col("movetext")), " ").alias("moves"))
+    return _movetexts(spark, sf_dir).select("id", F.array_join(T.parse_movetext(F.col("movetext")), " ").alias("moves"))
 
 
 @query(
     "think_extract",
-    f"""WITH {RESPONSES_SQL} SELECT kind, CASE WHEN regexp_matches(response, '(?is)<think>(.*?)</think>') THEN trim(regexp_extract(response, '(?is)<think>(.*?)</think>', 1)) ELSE response END AS thinking FROM v""",
+    f"""WITH {TURN_RESPONSES_SQL} SELECT conv_id, turn, md5(CASE WHEN regexp_matches(response, '(?is)<think>(.*?)</think>') THEN trim(regexp_extract(response, '(?is)<think>(.*?)</think>', 1)) ELSE response END) AS thinking FROM v""",
 )
 def think_extract(spark, sf_dir):
-    return responses(spark).select("kind", T.think_text(F.col("response")).alias("thinking"))
+    return turn_responses(spark, sf_dir).select("conv_id", "turn", F.md5(T.think_text(F.col("response"))).alias("thinking"))
 
 
 @query(
