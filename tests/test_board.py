@@ -49,13 +49,13 @@ def test_illegal_san():
         ("RB6/8/2k5/8/8/7K/4n3/8 b - - 10 49", "c6b7", "fork"),
         ("8/7p/7P/p7/8/4k3/7K/3r4 b - - 3 46", "d1h1", "skewer"),
         ("8/5k2/8/nP6/8/4PB1P/4K2P/1N3R2 w - - 19 39", "f3d5", "double check"),
-        ("5k2/8/3K4/8/7P/8/Pp3P2/R7 b - - 1 36", "b2a1q", "deflection"),
+        ("5k2/8/3K4/8/7P/8/Pp3P2/R7 b - - 1 36", "b2a1q", "deflection of the pawn"),
         ("8/8/8/k4P2/3K4/8/6Q1/8 w - - 7 43", "g2g5", "x-ray"),
         ("R7/7k/8/8/8/3Kb3/8/8 w - - 21 50", "a8a7", "sacrifice"),
         ("8/p7/B7/4RPk1/8/8/8/3K4 w - - 1 42", "f5f6", "discovered attack"),
         ("2k5/5p2/1p5q/6b1/8/3b4/8/6K1 b - - 35 49", "h6h2", "back rank"),
         ("7k/8/8/8/1p1P4/1P3Q2/4K3/8 w - - 17 50", "f3f7", "stalemate trick"),
-        ("Q7/8/4k3/2n5/7p/8/3K4/7R w - - 5 42", "a8c8", "trapped piece"),
+        ("Q7/8/4k3/2n5/7p/8/3K4/7R w - - 5 42", "a8c8", "trapped knight"),
         ("8/8/3k4/8/8/2K5/8/8 b - - 5 41", "d6c5", "quiet move"),
     ],
 )
