@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.board.motifs import cues, hanging, motifs
+from rookery.board.motifs import aesthetic, cues, hanging, mobility_note, motifs, move_features, structure_note
 from rookery.board.rules import Position, name_of
 from rookery.functions.scoring import hash_u
 from rookery.functions.text import parse_movetext, render_board, side_to_move
@@ -184,3 +184,48 @@ def opening_book(openings: DataFrame, order: str) -> DataFrame:
     entries = moves.mapInPandas(_prefixes, OPENING)
     best = entries.groupBy("key").agg(F.max(F.struct("length", "order", "eco", "name", "line")).alias("m"))
     return best.select("key", "m.eco", "m.name", "m.line", "m.length")
+
+
+NOTES = "pos_id long, structure string, mobility string, balance int"
+
+
+def _notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in NOTES.split(", ")]
+    for b in batches:
+        out = []
+        for key, fen in zip(b["pos_id"], b["fen"]):
+            try:
+                p = Position(fen)
+            except (ValueError, IndexError):
+                continue
+            out.append((key, structure_note(p), *mobility_note(p)))
+        yield pd.DataFrame(out, columns=names)
+
+
+def notes(positions: DataFrame) -> DataFrame:
+    """What stands out of the pawns and of the number of moves, of ``pos_id, fen``."""
+    return positions.select("pos_id", "fen").mapInPandas(_notes, NOTES)
+
+
+MOVE_FEATURES = "pos_id long, move string, takes string, check boolean, castles boolean, promotes boolean, develops boolean, centre boolean, aesthetic string"
+
+
+def _move_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in MOVE_FEATURES.split(", ")]
+    for b in batches:
+        out = []
+        for key, fen, move, p_win in zip(b["pos_id"], b["fen"], b["move"], b["p_win"]):
+            try:
+                p = Position(fen)
+                if not p.is_legal(move):
+                    continue
+            except (ValueError, IndexError):
+                continue
+            out.append((key, move, *move_features(p, move), aesthetic(p, move, p_win)))
+        yield pd.DataFrame(out, columns=names)
+
+
+def features_of_moves(positions: DataFrame) -> DataFrame:
+    """Features of ``pos_id, fen, move, p_win``, the chance to win after the move; moves that are
+    not legal drop out."""
+    return positions.select("pos_id", "fen", "move", "p_win").mapInPandas(_move_features, MOVE_FEATURES)

@@ -32,7 +32,11 @@ def prompt_mask(ids: Column, prompt: Column) -> Column:
     return F.transform(ids, lambda x, i: F.when(i < prompt, F.lit(IGNORED)).otherwise(x))
 
 
-def left_truncate(ids: Column, most: int) -> Column:
+def left_truncate(ids: Column, most: int, policy: str = "cut") -> Column:
+    """The last ``most`` ids; with the policy ``raise``, longer ones fail the query."""
+    if policy == "raise":
+        said = F.concat(F.size(ids).cast("string"), F.lit(f" ids, more than {most}"))
+        return F.when(F.size(ids) > most, F.raise_error(said).cast("array<int>")).otherwise(ids)
     return F.slice(ids, F.greatest(F.lit(1), F.size(ids) - most + 1), F.lit(most))
 
 

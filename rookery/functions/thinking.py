@@ -271,8 +271,11 @@ def replace_word(text: Column, word: str, by: str) -> Column:
 GUARDED = (("winning", "drawn"), ("losing", "drawn"), ("win", "draw"), ("loss", "draw"))
 
 
-def guard(text: Column, result: Column) -> Column:
-    """Texts about positions that a tablebase knows as drawn do not speak of wins."""
+def guard(text: Column, result: Column, enabled: bool = False) -> Column:
+    """Texts about positions that a tablebase knows as drawn do not speak of wins, if that is
+    asked for."""
+    if not enabled:
+        return text
     out = text
     for word, by in GUARDED:
         out = replace_word(out, word, by)

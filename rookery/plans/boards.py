@@ -347,3 +347,29 @@ def reasoning_traces(spark, sf_dir):
     scored = F.transform(others, lambda u, k: F.struct(u.alias("uci"), (10 - 160 * k).cast("int").alias("cp")))
     first = F.array(F.struct(F.col("move").alias("uci"), F.lit(40).alias("cp")))
     return traces(m.select("pos_id", "fen", F.col("move").alias("target"), F.concat(first, scored).alias("candidates")))
+
+
+@query("position_notes")
+def position_notes(spark, sf_dir):
+    """Pawn structure and mobility of the boards."""
+    return tables.notes(boards(spark, sf_dir))
+
+
+@query("move_features")
+def move_features(spark, sf_dir):
+    """Features of a move of each board, with a chance to win by the board's number."""
+    return tables.features_of_moves(_moved(spark, sf_dir).withColumn("p_win", F.col("pos_id") % 100 / F.lit(100.0)))
+
+
+@query("first_puzzle_position")
+def first_puzzle_position(spark, sf_dir):
+    """The solver's first position of each puzzle."""
+    return tables.puzzle_positions(puzzles(spark, sf_dir)).filter("ply = 1").select("game_id", "fen", "target_move_uci")
+
+
+@query("principal_variations")
+def principal_variations(spark, sf_dir):
+    """A line of four moves from each board, in both notations."""
+    b = boards(spark, sf_dir).withColumn("picks", F.array(*[F.col("pos_id") * k + k for k in (2, 5, 9, 13)]))
+    played_ = tables.play(b).filter(F.size("ucis") > 0)
+    return played_.select("pos_id", F.array_join("ucis", " ").alias("line"), F.array_join("sans", " ").alias("shown"))

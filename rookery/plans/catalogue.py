@@ -32,6 +32,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> dict[str, Entry]:
-    from rookery.plans import boards, evaluation, joins, messages, mixtures, positions, prefixes, sampling, scoring, storage, teaching, texts  # noqa: F401
+    from rookery.plans import boards, evaluation, joins, messages, mixtures, positions, preparation, prefixes, sampling, scoring, storage, teaching, texts  # noqa: F401
 
     return ENTRIES

@@ -198,19 +198,17 @@ def resume_skip(spark, sf_dir):
 
 @query(
     "special_token_union",
-    """WITH w AS (SELECT conv_id, list_distinct(list(role)) AS have FROM conversations GROUP BY conv_id)
-    SELECT conv_id, array_to_string(list_sort(list_distinct(list_concat(have, ['user', 'tool', 'system']))), '|') AS tokens,
+    """WITH r AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY conv_id, role), w AS (SELECT conv_id, list(role ORDER BY t, role) AS have FROM r GROUP BY conv_id)
+    SELECT conv_id, array_to_string(list_concat(have, list_filter(['user', 'tool', 'system'], lambda x: NOT list_contains(have, x))), '|') AS tokens,
     array_to_string(list_filter(['assistant', 'system', 'tool', 'user'], lambda x: NOT list_contains(have, x)), '|') AS missing FROM w""",
 )
 def special_token_union(spark, sf_dir):
-    """A conversation's roles and those to add, each once; and what it lacks."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("have"))
+    """A conversation's roles in their order, then those to add that it lacks; and what it
+    lacks of all."""
+    r = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
+    c = r.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("t", "role"))).alias("s")).select("conv_id", F.col("s.role").alias("have"))
     add, need = (F.array(*[F.lit(x) for x in names]) for names in (("user", "tool", "system"), ("assistant", "system", "tool", "user")))
-    return c.select(
-        "conv_id",
-        F.array_join(F.array_sort(F.array_union("have", add)), "|").alias("tokens"),
-        F.array_join(F.array_except(need, F.col("have")), "|").alias("missing"),
-    )
+    return c.select("conv_id", F.array_join(F.array_union("have", add), "|").alias("tokens"), F.array_join(F.array_except(need, F.col("have")), "|").alias("missing"))
 
 
 @query(

@@ -155,7 +155,7 @@ def guardrail_words(spark, sf_dir):
     text = F.when(k == 0, "Winning, a WIN").when(k == 1, "losing or loss; window").when(k == 2, "Loss Losing win").otherwise("even")
     text = F.concat(text, F.lit(" "), F.col("s_suppkey").cast("string"))
     result = F.when(F.col("s_suppkey") % 3 == 0, "drawing").otherwise("winning")
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), K.guard(text, result).alias("text"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), K.guard(text, result, enabled=True).alias("text"))
 
 
 @query("plural_piece", "SELECT DISTINCT p_brand AS id, CASE WHEN w LIKE '%s' THEN w WHEN w LIKE '%y' THEN left(w, len(w) - 1) || 'ies' ELSE w || 's' END AS plural FROM (SELECT p_brand, lower(split_part(p_type, ' ', 1)) || CASE WHEN p_size % 2 = 0 THEN 'y' ELSE '' END AS w FROM part)")
