@@ -1,7 +1,7 @@
 """Shards by fixed virtual slots.
 
 Every record hashes into one of a fixed number of slots, by its text, so equal texts
-stay together; a group of equal texts of more than ``SPLIT`` of a mean shard is split by
+stay together; only a group of equal texts that is larger than a mean shard is split, by
 doc_id, and the map names it. Bytes and rows are summed per slot, and a versioned map
 from slots to shards is written. Records do not move between slots: rebalancing edits
 the map. The first version gives the fullest slot not yet placed to the shard with the
@@ -26,17 +26,20 @@ SHARDS = 40
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
 #: Share of a mean shard that a group of equal texts may have to stay together.
-SPLIT = 1 / 8
+SPLIT = 1.0
+#: Parts that a slot's places are counted in, so that no task orders a large slot.
+PARTS = 64
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, text_crc32, text_hash``, reading each text once."""
+    """``doc_id, size, text_crc32, text_hash, part``, reading each text once."""
     text = text_of()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
+        F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(PARTS)).cast("int").alias("part"),
     )
 
 
@@ -110,8 +113,8 @@ def shard(
 
     ``previous`` and ``split`` are those of the version before (``read_map``). The driver
     sees one row per slot, of which there are at most ``slots``. A place within a shard is
-    the rows of the shard's slots before the record's own plus the record's place in its
-    slot, so no task orders a whole shard.
+    the rows of the shard's slots before the record's own, of the slot's parts before its
+    own, and the record's place in its part, so no task orders a whole shard or slot.
     """
     spark = docs.sparkSession
     rows = stash(records(docs), "shard-records")
@@ -130,16 +133,19 @@ def shard(
     path = f"{map_path or shared_path(spark, 'slot-map')}/version={version}"
     spark.createDataFrame(entries, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
     slot_map = spark.read.schema(MAP_SCHEMA).parquet(path).select("virtual_slot", "shard", "first")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    parts = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("virtual_slot", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size"))
     # at most `slots` rows
-    joined = rows.withColumn("_place", place - 1).join(F.broadcast(slot_map), "virtual_slot")
+    joined = rows.withColumn("_place", place - 1).join(parts, ["virtual_slot", "part"]).join(F.broadcast(slot_map), "virtual_slot")
     return joined.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("first") + F.col("_place")).alias("slot"),
+        (F.col("first") + F.col("_base") + F.col("_place")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )

@@ -458,7 +458,7 @@ def test_op8_law_groups_and_versions(spark):
         held[x["shard"]] += x["size"]
         at[texts[x["doc_id"]]].add(x["shard"])
     assert {x["law"] for x in first} == {"bytes"} and max(held) - min(held) < 0.02 * sum(held) / 8
-    # equal texts share a shard, but for a group of more than an eighth of one, which is split
+    # equal texts share a shard, but for a group that is larger than one, which is split
     assert {t for t, s in at.items() if len(s) > 1} == {"a hot text " * 20}
     again = sharding.shard(docs, shards=8, slots=1024, map_path=path).collect()
     assert sorted(map(tuple, first)) == sorted(map(tuple, again))
@@ -471,6 +471,22 @@ def test_op8_law_groups_and_versions(spark):
     assert len(same) > 0.6 * 1024
 
 
+def test_op8_groups_stay_together_in_small_tables(spark, data):
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    got = sharding.shard(docs).collect()
+    held, groups = Counter(), defaultdict(lambda: [0, 0, set()])
+    for x in got:
+        held[x["shard"]] += x["size"]
+        g = groups[x["text_crc32"]]
+        g[0], g[1] = g[0] + 1, g[1] + x["size"]
+        g[2].add(x["shard"])
+    mean = sum(held.values()) / 40
+    several = [g for g in groups.values() if g[0] > 1]
+    assert len(several) > 50 and all(len(g[2]) == 1 for g in several if g[1] <= mean)
+    largest = max(r["size"] for r in got)
+    assert max(held.values()) - mean <= max(0.02 * mean, largest, max(g[1] for g in several) - mean)
+
+
 def test_op8_rebalance_moves_little():
     r = random.Random(2)
     size = {s: r.randint(1, 1000) for s in range(512)}
