@@ -349,12 +349,17 @@ def merge(runs: list[tuple[bytes, list[int]]]) -> Iterator[tuple[int, int, int]]
             node >>= 1
 
 
+def _of(key: np.ndarray, ranges: int) -> int:
+    """A range for what is settled already: any will do, so a document's hash picks one."""
+    return int(key[1]) % ranges
+
+
 def _map(splitters: list[bytes], length: int):
     def run(batches):
         settle()
         from bisect import bisect_left
 
-        for n, (keys, buf, ends) in enumerate(_rows(batches)):
+        for keys, buf, ends in _rows(batches):
             found, rest = sorted_run(keys, buf, ends, length)
             if found is None:
                 continue
@@ -370,7 +375,7 @@ def _map(splitters: list[bytes], length: int):
                     blobs.append(front_coded(found, i, j, table_))
             doc, start, end = merged_spans(*rest)
             if len(doc):
-                ids.append(n % (len(splitters) + 1))
+                ids.append(_of(table_[doc[0]], len(splitters) + 1))
                 blobs.append(b"=" + _pack([table_[doc].astype("<i8"), start.astype("<i8"), end.astype("<i8")]))
             for i in range(0, len(ids), 16):
                 yield pa.RecordBatch.from_arrays(
@@ -533,7 +538,7 @@ def _windows(length: int, buckets: int):
                 _pack([table_[docs].astype("<i8"), number.astype("<u4"), p[i:j].astype("<u4"), one[i:j], two[i:j]])
             )
         if len(spans[0]):
-            ids.append(0)
+            ids.append(_of(table_[spans[0][0]], buckets))
             blobs.append(b"=" + _pack([table_[spans[0]].astype("<i8"), spans[1].astype("<i8"), spans[2].astype("<i8")]))
         for i in range(0, len(ids), 16):
             yield pa.RecordBatch.from_arrays(
