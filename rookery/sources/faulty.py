@@ -14,9 +14,15 @@ OPENING_COLUMNS = ("eco", "name", "uci", "pgn", "moves")
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``file, content`` of all files below a path, as bytes."""
+    """``file, content`` of all files below a path, as bytes. Readers pass over files without
+    any; those are added from the list of files, which the driver has for every scan."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return found.select(F.col("path").alias("file"), "content")
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    read = found.select(plain(F.col("path")).alias("file"), "content")
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "f string")
+    listed = listed.select(plain(F.url_decode(F.replace("f", F.lit("+"), F.lit("%2B")))).alias("file"))
+    empty = listed.join(read.select("file"), "file", "left_anti").select("file", F.lit(b"").alias("content"))
+    return read.unionByName(empty)
 
 
 def openings(files: DataFrame) -> DataFrame:
