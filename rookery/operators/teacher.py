@@ -46,20 +46,25 @@ def passes(shallow: DataFrame, deep: DataFrame, confirm: DataFrame, top_k: int,
     ``confirm_top_k`` whose score moved most are confirmed; that table (with ``p``) sees the
     position behind the move, so its scores and chances are the opponent's and are turned.
     """
+    none = F.lit(None).cast("double")
+    own = lambda df, kind, p: df.select("pos_id", "move", F.lit(kind).alias("kind"), "cp", p.alias("p"))
+    scores = own(shallow, 0, none).unionByName(own(deep, 1, none)).unionByName(own(confirm, 2, F.col("p").cast("double")))
+    at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    # dealt by position once: the moves' scores meet, and are ranked, where they are
+    moves = scores.repartition("pos_id").groupBy("pos_id", "move")
+    moves = moves.agg(
+        at(0, "cp").alias("shallow_cp"), at(1, "cp").alias("_deep"), (-at(2, "cp")).alias("_cp"), (1 - at(2, "p")).alias("_p"), F.min("kind").alias("_first")
+    ).filter("_first = 0")
     by_score = Window.partitionBy("pos_id").orderBy(F.desc("shallow_cp"), "move")
-    moves = shallow.select("pos_id", "move", F.col("cp").alias("shallow_cp"))
-    best = moves.withColumn("_rn", F.row_number().over(by_score)).filter(F.col("_rn") <= top_k).drop("shallow_cp")
-    deeper = best.join(deep.select("pos_id", "move", F.col("cp").alias("deep_cp")), ["pos_id", "move"])
-    moves = moves.join(deeper, ["pos_id", "move"], "left")
+    moves = moves.withColumn("_rn", F.row_number().over(by_score))
+    moves = moves.withColumn("deep_cp", F.when(F.col("_rn") <= top_k, F.col("_deep")))
     swing = F.abs(F.col("deep_cp") - F.col("shallow_cp"))
     by_swing = Window.partitionBy("pos_id").orderBy(F.desc_nulls_last(swing), "_rn", "move")
-    moves = moves.withColumn("_sn", F.when(F.col("deep_cp").isNotNull(), F.row_number().over(by_swing)))
-    turned = confirm.select(
-        F.col("pos_id").alias("_pos"), F.col("move").alias("_move"), (-F.col("cp")).alias("confirm_cp"), (1 - F.col("p")).alias("confirm_p")
+    moves = moves.withColumn("_confirmed", F.col("deep_cp").isNotNull() & (F.row_number().over(by_swing) <= confirm_top_k))
+    confirmed = lambda c: F.when(F.col("_confirmed"), F.col(c))
+    return moves.select(
+        "pos_id", "move", "shallow_cp", "deep_cp", F.coalesce("deep_cp", "shallow_cp").alias("cp"), confirmed("_cp").alias("confirm_cp"), confirmed("_p").alias("confirm_p")
     )
-    wanted = (F.col("pos_id") == F.col("_pos")) & (F.col("move") == F.col("_move")) & (F.col("_sn") <= confirm_top_k)
-    out = moves.join(turned, wanted, "left")
-    return out.select("pos_id", "move", "shallow_cp", "deep_cp", F.coalesce("deep_cp", "shallow_cp").alias("cp"), "confirm_cp", "confirm_p")
 
 
 def search_limit(depth: Column, time_ms: Column, nodes: Column, default_depth: int) -> Column:

@@ -145,7 +145,7 @@ def test_guarded_words_keep_their_capitals(spark):
     from rookery.functions.thinking import guard
 
     t = spark.createDataFrame([("Winning WIN losing window", "drawing"), ("a win", "winning")], "t string, r string")
-    assert [x[0] for x in t.select(guard(F.col("t"), F.col("r"))).collect()] == ["Drawn DRAW drawn window", "a win"]
+    assert [x[0] for x in t.select(guard(F.col("t"), F.col("r"), enabled=True)).collect()] == ["Drawn DRAW drawn window", "a win"]
 
 
 def test_thinking_without_moves(spark):
