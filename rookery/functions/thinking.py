@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rookery.functions import text as T
+from rookery.functions.scoring import let
 
 #: Prompts and responses (fixed texts).
 BOARD_PROMPT = """You are an expert chess player. Choose the best move.
@@ -181,19 +182,22 @@ def compact_analysis(moves: Column, n: int = 3) -> Column:
 
 
 def eval_response(moves: Column, target: Column, n: int = 5, style: str = "detailed", template: str = EVAL_RESPONSE) -> Column:
-    best, own = F.try_element_at(moves, F.lit(1)), find(moves, target)
     score = lambda m: T.score_text(m["cp"], m["mate"])
     missing = F.when(F.size(moves) > 0, "+0cp").otherwise("?")
-    parts = {
-        "move_analysis": move_analysis(moves, target, n, style),
-        "compact_analysis": compact_analysis(moves),
-        "best_move": F.coalesce(best["san"], F.lit("?")),
-        "best_score": F.coalesce(score(best), F.lit("?")),
-        "move_san": F.coalesce(own["san"], target),
-        "move_score": F.coalesce(score(own), missing),
-        "move": target,
-    }
-    return T.fill(template, **parts)
+
+    def built(b: Column) -> Column:  # both moves are looked for once
+        parts = {
+            "move_analysis": move_analysis(moves, target, n, style),
+            "compact_analysis": compact_analysis(moves),
+            "best_move": F.coalesce(b["best"]["san"], F.lit("?")),
+            "best_score": F.coalesce(score(b["best"]), F.lit("?")),
+            "move_san": F.coalesce(b["own"]["san"], target),
+            "move_score": F.coalesce(score(b["own"]), missing),
+            "move": target,
+        }
+        return T.fill(template, **parts)
+
+    return let(F.struct(F.try_element_at(moves, F.lit(1)).alias("best"), find(moves, target).alias("own")), built)
 
 
 def user_prompt(fen: Column, legal: Column, first: Column, side: Column, board: Column | None = None) -> Column:
