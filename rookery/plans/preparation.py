@@ -230,6 +230,22 @@ def cp_distribution_unscored(spark, sf_dir):
     return r.select("pos_id", "rank", F.round(p, 6).alias("p"))
 
 
+@query(
+    "multipv_evaluation",
+    f"""WITH {RANKED_SQL}, e AS (SELECT pos_id, max(cp + legal) AS score FROM m WHERE ord <= 2 GROUP BY pos_id)
+    SELECT r.pos_id, string_agg(rank || '.' || move || ' ' || cp || CASE WHEN mate IS NOT NULL THEN ' #' || mate ELSE '' END, ', ' ORDER BY rank) FILTER (WHERE rank <= 3) AS lines, max(score) AS score FROM r LEFT JOIN e ON r.pos_id = e.pos_id GROUP BY r.pos_id""",
+)
+def multipv_evaluation(spark, sf_dir):
+    """The three best lines of a position from one pass, and its own score from another."""
+    r = ranked(spark, sf_dir)
+    second = r.filter("ord <= 2").groupBy("pos_id").agg(F.max(F.col("cp") + F.col("legal")).alias("score"))
+    mate = F.when(F.col("mate").isNotNull(), F.concat(F.lit(" #"), F.col("mate").cast("string"))).otherwise("")
+    text = F.concat(F.col("rank").cast("string"), F.lit("."), F.col("move").cast("string"), F.lit(" "), F.col("cp").cast("string"), mate)
+    best = P.top_k(r.select("pos_id", F.col("rank").alias("place"), text.alias("text")), "pos_id", 3, F.col("place"))
+    best = best.groupBy("pos_id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("l"))
+    return best.join(second, "pos_id", "left").select("pos_id", F.array_join("l.text", ", ").alias("lines"), "score")
+
+
 # -- filters, lists and packing -------------------------------------------------------
 
 
