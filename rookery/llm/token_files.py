@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rookery.llm.byte_level import byte_level
 from rookery.llm.common import shared_path, table, text_of, tune
-from rookery.llm.tokens import BYTE_LEVEL, encoder, tokenizer_path
+from rookery.llm.tokens import tokenizer_path
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -29,20 +30,22 @@ PAGE_BYTES = 256 << 10
 FILE_SCHEMA = "doc_id long, part int, seq long, n_tokens long, tokens array<int>"
 
 
-def _encode(path: str, pattern: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
+def _encode(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        enc = encoder(path, pattern)
+        enc = byte_level(path)
         for b in batches:
-            packed = [x + end for x in enc.encode_many(b.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in packed], np.int64)
+            found, n = enc.encode(b.column("text"))
+            n = n + 1
             offsets = np.zeros(len(n) + 1, np.int32)
             np.cumsum(n, out=offsets[1:])
-            ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            ids = np.full(offsets[-1], end_id, np.int32)
+            own = np.ones(len(ids), bool)
+            own[offsets[1:] - 1] = False
+            ids[own] = found
+            ids = pa.array(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -62,7 +65,6 @@ def write_tokens(
     docs: DataFrame,
     path: str,
     vocabulary: str | None = None,
-    pattern: str = BYTE_LEVEL,
     end_id: int = 0,
     row_group_bytes: int = ROW_GROUP_BYTES,
     page_bytes: int = PAGE_BYTES,
@@ -78,7 +80,7 @@ def write_tokens(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(_encode(vocabulary, pattern, end_id), FILE_SCHEMA)
+        .mapInArrow(_encode(vocabulary, end_id), FILE_SCHEMA)
         .write.option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.block.size", str(row_group_bytes))
@@ -105,6 +107,13 @@ def _sums(batches):
         )
 
 
+def read_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``doc_id, tokens`` of some documents: files, row groups and pages that hold none of
+    them are passed over by their statistics and page indexes."""
+    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
+    return rows.filter(F.col("doc_id").isin(list(doc_ids))).select("doc_id", "tokens")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files.
 

@@ -306,3 +306,65 @@ def test_runs_of_classes():
 def test_new_queries_are_registered():
     assert {"op11_merkle_manifest", "op12_quality_classifier", "op13_source_divergence"} <= set(registry.queries())
     assert {"op11_merkle_manifest", "op13_source_divergence"} <= set(registry.oracle_sql())
+
+
+# -- token files ----------------------------------------------------------------------
+
+
+def tokenizer():
+    from rookery.llm.byte_level import ByteLevel
+    from rookery.llm.tokens import tokenizer_path
+
+    return ByteLevel(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_byte_level_batches_agree_with_the_tokenizer():
+    b, r = tokenizer(), random.Random(1)
+    bits = ["a", " ", "  ", "\n", "\t", "word", "é", "ß", "日本", " don't", "'s", "!!", "12", "  x", "\r\n", "\u3000", "\xa0", "Σ", "_", ".", " ,"]
+    bits += ["'", "''", "x'", "\x1c", "\x85", "3a", "' s", "“", "”.", "'LL", "I'm", "\x00", "\x7f", "<|endoftext|>"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(4000)] + ["", "x " * 9000, "\n" * 3000, "é" * 5000]
+    ids, n = b.encode(pa.array(["zz", *texts]).slice(1))
+    at = np.append(0, np.cumsum(n))
+    assert b._cuts and len(n) == len(texts)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == b._tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert [len(x) for x in b.encode(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_another_vocabulary_gives_its_own_ids():
+    from rookery.llm.byte_level import ByteLevel
+    from rookery.llm.tokens import tokenizer_path
+
+    b = ByteLevel(tokenizer_path("word_bpe_49k.json"))
+    texts = ["Ab, cd  ef", "", "x!!", "Don't\n\nstop  3rd \u00c9t\u00e9"]
+    ids, n = b.encode(pa.array(texts))
+    at = np.append(0, np.cumsum(n))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [b._tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op5_files_are_read_selectively(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    from rookery.llm import token_files
+
+    path = str(tmp_path / "tokens")
+    many = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).filter("doc_id IS NOT NULL")
+    token_files.write_tokens(many, path, row_group_bytes=1 << 14, page_bytes=1 << 10)
+    groups, indexed, encodings = 0, 0, set()
+    for f in (tmp_path / "tokens").glob("*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        for g in range(m.num_row_groups):
+            groups += 1
+            for c in range(m.num_columns):
+                column = m.row_group(g).column(c)
+                indexed += column.has_offset_index and column.has_column_index
+                if column.path_in_schema.startswith("tokens"):
+                    encodings |= set(column.encodings)
+    assert groups > 1 and indexed >= 4 * groups and encodings & {"DELTA_BINARY_PACKED", "RLE_DICTIONARY", "PLAIN_DICTIONARY"}
+    found = token_files.read_tokens(spark, path, [3, 1003, 99_999])
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().executedPlan().toString()
+    texts = {r["doc_id"]: r["text"] for r in many.filter("doc_id IN (3, 1003)").select("doc_id", "text").distinct().collect()}
+    tok = tokenizer()._tok
+    for r in found.collect():
+        assert r["tokens"] == [*tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0]
+    assert {r["doc_id"] for r in found.collect()} == {3, 1003}
