@@ -112,3 +112,30 @@ def test_traces():
     short = trace(fen, found, "d2f3", "thorough", budget=12)
     assert approx_tokens(short) <= 12 and "Nf3" in short
     assert "Nf3" in trace(fen, [], "d2f3", "comparison_focused")
+
+
+def test_relational_posts_and_checks_agree_with_the_rules(spark, data, fens):
+    from rookery.board.motifs import Side
+    from rookery.plans.boards import checkers, outposts
+
+    found = {(r["pos_id"], r["sq"], r["white"]) for r in outposts(spark, data).collect()}
+    hit = {(r["pos_id"], r["white"]): r["checkers"] for r in checkers(spark, data).collect()}
+    for r in boards(spark, data).collect():
+        p = Position(r["fen"])
+        for white in (True, False):
+            assert {s for i, s, w in found if i == r["pos_id"] and w == white} == set(Side(p, white).outposts())
+            assert hit.get((r["pos_id"], white), 0) == len(p.attackers(not white, p.king(white)))
+
+
+def test_played_games_are_legal(spark, data):
+    from rookery.plans.boards import played_games, puzzles
+
+    for g in played_games(spark, data).limit(40).collect():
+        p = Position()
+        for san in [w for w in g["movetext"].replace("{ [%clk 0:05:00] }", "").split() if w[0].isalpha()]:
+            p = p.push(p.parse_san(san))
+    for r in puzzles(spark, data).limit(40).collect():
+        p = Position(r["fen"])
+        for uci in r["moves"].split():
+            assert p.is_legal(uci)
+            p = p.push(uci)
