@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,12 @@ from rookery.functions.text import parse_movetext, render_board, side_to_move
 PLIES = "game_id long, ply int, fen string, target_move_uci string, legal_moves_uci string, first_legal_move string"
 
 
+def spread(positions: DataFrame) -> DataFrame:
+    """The same rows over as many tasks as a shuffle has partitions: the rules take far longer
+    than their few bytes let an adaptive plan expect."""
+    return positions.repartition(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _rows(p: Position, key, ply: int, uci: str) -> tuple:
     legal = p.legal_moves()
     return key, ply, p.fen(), uci, " ".join(legal), legal[0] if legal else ""
@@ -45,7 +52,7 @@ def game_positions(games: DataFrame, skip_first: int = 4, skip_last: int = 2, ra
     g = g.filter(F.size("sans") >= skip_first + skip_last + 1)
     window = F.sequence(F.lit(skip_first), F.size("sans") - skip_last - 1)
     g = g.withColumn("plies", F.filter(window, lambda i: hash_u(seed, F.col("game_id"), i) <= rate)).filter(F.size("plies") > 0)
-    return with_board(g.select("game_id", "sans", "plies").mapInPandas(_replay_games, PLIES))
+    return with_board(spread(g.select("game_id", "sans", "plies")).mapInPandas(_replay_games, PLIES))
 
 
 def _replay_puzzles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +76,7 @@ def _replay_puzzles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def puzzle_positions(puzzles: DataFrame) -> DataFrame:
     """The solver's positions (odd plies) of ``game_id, fen, moves``."""
     p = puzzles.filter((F.col("fen") != "") & (F.size(F.split("moves", " ")) >= 2))
-    return with_board(p.select("game_id", "fen", "moves").mapInPandas(_replay_puzzles, PLIES))
+    return with_board(spread(p.select("game_id", "fen", "moves")).mapInPandas(_replay_puzzles, PLIES))
 
 
 def with_board(positions: DataFrame) -> DataFrame:
@@ -99,14 +106,14 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def features(positions: DataFrame) -> DataFrame:
     """Tactical and positional features of ``pos_id, fen, move``; bad positions drop out."""
-    return positions.select("pos_id", "fen", "move").mapInPandas(_features, FEATURES)
+    return spread(positions.select("pos_id", "fen", "move")).mapInPandas(_features, FEATURES)
 
 
-LEGAL = "pos_id long, fen string, legal array<string>, sans array<string>"
+LEGAL = "pos_id long, fen string, legal array<string>"
 
 
-def _legal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in LEGAL.split(", ")]
+def _legal(batches: Iterator[pd.DataFrame], sans: bool = False) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in LEGAL.split(", ")] + ["sans"] * sans
     for b in batches:
         out = []
         for key, fen in zip(b["pos_id"], b["fen"]):
@@ -115,16 +122,17 @@ def _legal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if p.in_check(not p.white):
                     continue
                 moves = p.legal_moves()
-                out.append((key, fen, moves, [p.san(m) for m in moves]))
+                out.append((key, fen, moves, [p.san(m) for m in moves]) if sans else (key, fen, moves))
             except (ValueError, IndexError):
                 continue
         yield pd.DataFrame(out, columns=names)
 
 
-def legal_moves(positions: DataFrame) -> DataFrame:
-    """Legal moves of ``pos_id, fen`` in both notations. Positions that cannot be read, or
-    in which the side that has moved is in check, drop out."""
-    return positions.select("pos_id", "fen").mapInPandas(_legal, LEGAL)
+def legal_moves(positions: DataFrame, sans: bool = True) -> DataFrame:
+    """Legal moves of ``pos_id, fen``, in both notations or as UCI texts only. Positions that
+    cannot be read, or in which the side that has moved is in check, drop out."""
+    kinds = LEGAL + (", sans array<string>" if sans else "")
+    return spread(positions.select("pos_id", "fen")).mapInPandas(partial(_legal, sans=sans), kinds)
 
 
 PLAYED = "pos_id long, fen string, ucis array<string>, sans array<string>"
@@ -154,7 +162,7 @@ def _played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def play(positions: DataFrame) -> DataFrame:
     """Games from ``pos_id, fen, picks``: each number picks one of the legal moves, until
     there is none."""
-    return positions.select("pos_id", "fen", "picks").mapInPandas(_played, PLAYED)
+    return spread(positions.select("pos_id", "fen", "picks")).mapInPandas(_played, PLAYED)
 
 
 OPENING = "eco string, name string, line string, order long, length int, key string"
@@ -181,7 +189,7 @@ def opening_book(openings: DataFrame, order: str) -> DataFrame:
     reaches, keyed by the first four fields of its FEN. Of lines that reach one position the
     one that takes longest names it, the last by ``order`` among equals."""
     moves = openings.select("eco", "name", "line", F.col(order).cast("long").alias("order"), parse_movetext(F.col("line")).alias("moves"))
-    entries = moves.mapInPandas(_prefixes, OPENING)
+    entries = spread(moves).mapInPandas(_prefixes, OPENING)
     best = entries.groupBy("key").agg(F.max(F.struct("length", "order", "eco", "name", "line")).alias("m"))
     return best.select("key", "m.eco", "m.name", "m.line", "m.length")
 
@@ -204,7 +212,7 @@ def _notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def notes(positions: DataFrame) -> DataFrame:
     """What stands out of the pawns and of the number of moves, of ``pos_id, fen``."""
-    return positions.select("pos_id", "fen").mapInPandas(_notes, NOTES)
+    return spread(positions.select("pos_id", "fen")).mapInPandas(_notes, NOTES)
 
 
 MOVE_FEATURES = "pos_id long, move string, takes string, check boolean, castles boolean, promotes boolean, develops boolean, centre boolean, aesthetic string"
@@ -228,4 +236,4 @@ def _move_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def features_of_moves(positions: DataFrame) -> DataFrame:
     """Features of ``pos_id, fen, move, p_win``, the chance to win after the move; moves that are
     not legal drop out."""
-    return positions.select("pos_id", "fen", "move", "p_win").mapInPandas(_move_features, MOVE_FEATURES)
+    return spread(positions.select("pos_id", "fen", "move", "p_win")).mapInPandas(_move_features, MOVE_FEATURES)

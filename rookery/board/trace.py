@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from rookery.board.motifs import WORTH, cues, hanging, motifs
 from rookery.board.rules import Position, name_of
+from rookery.board.tables import spread
 
 STYLES = ("thorough", "concise", "tactical", "quick", "problem_focused", "intuition", "comparison_focused")
 #: Sections that a budget gives up, first to last.
@@ -160,4 +161,4 @@ def traces(positions: DataFrame, style: str | None = None, budget: int = 400, se
                 out.append((key, own, text))
             yield pd.DataFrame(out, columns=["pos_id", "style", "trace"])
 
-    return positions.select("pos_id", "fen", "target", "candidates").mapInPandas(run, TRACES)
+    return spread(positions.select("pos_id", "fen", "target", "candidates")).mapInPandas(run, TRACES)
