@@ -50,3 +50,12 @@ def test_games_are_played_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(boards, "written", lambda df, name: times.append(name) or kept(df, name))
     boards.game_opening_positions(spark, "/root/testdata/sf0.001")
     assert times == ["games"]
+
+
+def test_attacks_are_found_without_a_shuffle(spark):
+    from rookery.board.features import attacks, pieces, sights
+
+    rows = spark.createDataFrame([(1, KIWIPETE)], "pos_id long, fen string")
+    for found in (attacks(spark, pieces(rows)), sights(spark, pieces(rows))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
