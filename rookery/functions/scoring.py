@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MATE_CP = 30000
 #: Sampling probability by rating bracket (fixed values).
@@ -126,6 +130,23 @@ def win_probability(cp: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), -cp / F.lit(400.0)))
 
 
+def _power_of_ten(x: pd.Series) -> pd.Series:
+    def power(v: float) -> float:
+        try:
+            return math.pow(10.0, v)
+        except OverflowError:
+            return math.inf
+
+    return x.map(power)
+
+
+def win_probability_as_sql(cp: Column) -> Column:
+    """The same with the C library's power, which the SQL engine calls too and the JVM's differs
+    from in the last bit: for sums that meet a threshold exactly."""
+    x = -cp / F.lit(400.0)
+    return F.when(x.isNotNull(), F.lit(1.0) / (F.lit(1.0) + F.pandas_udf(_power_of_ten, DoubleType())(x)))
+
+
 def wdl_win_probability(win: Column, draw: Column, cp: Column) -> Column:
     """(W + D/2) per mille; without those, from the centipawns."""
     return F.coalesce((win + draw / F.lit(2.0)) / F.lit(1000.0), win_probability(cp))

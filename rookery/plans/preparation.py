@@ -188,7 +188,7 @@ def display_moves(spark, sf_dir):
 def trap_by_win_probability(spark, sf_dir):
     """Traps and resources where the teacher gives chances."""
     shift = F.when(F.col("ord") % 3 == 0, 200).when(F.col("ord") % 3 == 1, -200).otherwise(0)
-    r = ranked(spark, sf_dir).select("pos_id", "legal", S.win_probability(F.col("cp")).alias("deep"), S.win_probability(F.col("cp") + shift).alias("shallow"))
+    r = ranked(spark, sf_dir).select("pos_id", "legal", S.win_probability_as_sql(F.col("cp")).alias("deep"), S.win_probability_as_sql(F.col("cp") + shift).alias("shallow"))
     here = Window.partitionBy("pos_id")
     r = r.withColumn("bd", F.max("deep").over(here)).withColumn("bs", F.max("shallow").over(here))
     confirm = F.when(F.col("legal") % 4 != 0, F.col("deep") + F.col("legal") / F.lit(500.0))

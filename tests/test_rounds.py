@@ -59,3 +59,13 @@ def test_attacks_are_found_without_a_shuffle(spark):
     for found in (attacks(spark, pieces(rows)), sights(spark, pieces(rows))):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_chances_are_those_of_the_sql_to_the_last_bit(spark):
+    import duckdb
+
+    from rookery.functions.scoring import win_probability_as_sql
+
+    want = duckdb.execute("SELECT cp::INT, 1 / (1 + pow(10::DOUBLE, -cp / 400.0::DOUBLE)) FROM (SELECT unnest(range(-2000, 2000)) AS cp)").fetchall()
+    rows = spark.createDataFrame(want + [(None, None), (-200000, 0.0)], "cp int, want double")
+    assert rows.filter(~win_probability_as_sql(rows.cp).eqNullSafe(rows.want)).count() == 0
