@@ -201,6 +201,41 @@ def test_op2_hot_bucket(spark):
     assert len(set(root.values())) >= 100
 
 
+def test_op2_frequencies_are_exact(spark):
+    # shingles of 1 to 9 of 400 documents, none common, each by its own frequency
+    r = random.Random(41)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(400)]
+    for n in range(1, 10):
+        for i in range(n):
+            texts[20 * n + i] += f" q{n} q{n}a q{n}b q{n}c q{n}d"
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, 0, 0, "") for i, t in enumerate(texts + [None])], SCHEMA)
+    counts = Counter()
+    held = [near_dedup.shingle_hashes([t.encode()])[0].tolist() for t in texts]
+    for x in held:
+        counts.update(x)
+    documents, found = near_dedup.sketched(near_dedup.keyed(docs))
+    assert documents == 401
+    for row in found.filter("id < 400").collect():
+        df = np.frombuffer(zlib.decompress(row["df"]), np.uint32).tolist()
+        assert df == [counts[x] for x in held[row["id"]]]
+    weights = near_dedup.weigh(near_dedup.keyed(docs))
+    x = np.array([near_dedup.shingle_hashes([f"q{n} q{n}a q{n}b q{n}c q{n}d".encode()])[0][0] for n in range(1, 10)])
+    assert np.allclose(weights(x, np.ones(9)), 1 + np.log10(402 / (np.arange(1, 10) + 1)))
+
+
+def test_op2_components(spark):
+    r = random.Random(43)
+    links = [(k, k + 1) for k in range(100, 130)] + [(200 + r.randrange(9), 300 + k) for k in range(90)]
+    links += [(r.randrange(400, 600), r.randrange(400, 600)) for _ in range(60)]
+    root = {k: k for e in links for k in e}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = near_dedup.components(spark.createDataFrame([(min(e), max(e)) for e in links if e[0] != e[1]], "a long, b long"))
+    want = {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in links)}
+    assert {x["k"]: x["root"] for x in got.collect()} == want
+
+
 def test_op2_sampling_follows_weighted_jaccard():
     r = np.random.default_rng(2)
     x = np.unique(r.integers(1, 1 << 62, 600, dtype=np.int64)).astype(np.uint64)
