@@ -649,6 +649,29 @@ def test_op10_learns():
     assert -1.65 * 30 * math.log10(50) < scores.mean() < -0.95 * 30 * math.log10(50)
 
 
+def test_op10_weights_learn_from_all_training_texts(spark, monkeypatch):
+    r = random.Random(19)
+    rows = [(i, " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(20)) + f" own{i}") for i in range(900)]
+    found, note, learn = [], lm_scoring._note, lm_scoring.Mixer.learn
+    monkeypatch.setattr(lm_scoring, "_note", lambda coder, rungs: found.append(coder) or note(coder, rungs))
+    monkeypatch.setattr(lm_scoring.Mixer, "learn", lambda self, notes: found.append(notes.sum()) or learn(self, notes))
+    lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count()
+    train = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert found[-1] == lm_scoring.Units(train, found[0]).size.sum()
+
+
+def test_op10_learns_from_notes():
+    # of two predictors that say the same by turns, the one that is right is told by all notes
+    notes = np.zeros((lm_scoring.GATES, *[len(lm_scoring.RUNGS)] * lm_scoring.PREDICTORS, 2), np.int64)
+    notes[3, 9, 3, 6, 6] = 1000, 9000
+    notes[3, 3, 9, 6, 6] = 9000, 1000
+    mixer = lm_scoring.Mixer(np.zeros((lm_scoring.PREDICTORS, 1 << 14), np.int16))
+    mixer.learn(notes)
+    assert mixer.weights[3, 0] - mixer.weights[3, 1] > 0.6 and abs(mixer.weights[4, 0] - 0.3) < 1e-6
+    p = 1 / (1 + math.exp(-3 * (mixer.weights[3, 0] - mixer.weights[3, 1])))
+    assert abs(p - 0.9) < 0.02
+
+
 def test_op10_codes_are_prefix_free():
     sizes = lm_scoring.code_lengths(np.array([5.0, 1, 1, 2, 9, 0.5]))
     codes = {bin(c)[3:] for c in lm_scoring.canonical(sizes).tolist()}
