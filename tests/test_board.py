@@ -139,3 +139,24 @@ def test_played_games_are_legal(spark, data):
         for uci in r["moves"].split():
             assert p.is_legal(uci)
             p = p.push(uci)
+
+
+def test_checks_and_notation_without_playing(fens, monkeypatch):
+    played, play = [], Position.play
+    for fen in fens[:15]:
+        p = Position(fen)
+        want = {u: p.push(u).in_check() for u in p.legal_moves()}
+        monkeypatch.setattr(Position, "play", lambda self, *a: played.append(a) or play(self, *a))
+        assert {u: p.gives_check(u) for u in want} == want
+        quiet = [u for u in want if not want[u]]
+        notes = [p.san(u) for u in quiet]
+        assert [p.parse_san(n) for n in notes] == quiet
+        monkeypatch.setattr(Position, "play", play)
+    assert not played
+
+
+@pytest.mark.parametrize("fen", ["kkKK4/8/8/8/8/8/8/RNBQqbnr w - - 0 1", "r3k2r/8/8/8/8/8/8/R3K2R w KQkq - 0 1", "k7/8/8/3pP3/8/8/8/K7 w - d6 0 1", "4k3/P7/8/8/8/8/p7/4K2R w K - 0 1"])
+def test_checks_of_odd_moves(fen):
+    for p in (Position(fen), Position(fen).turned()):
+        assert all(p.gives_check(u) == p.push(u).in_check() for u in p.legal_moves())
+        assert p.can_move() == bool(p.legal_moves())
