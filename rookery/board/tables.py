@@ -138,11 +138,11 @@ def legal_moves(positions: DataFrame, sans: bool = True) -> DataFrame:
 PLAYED = "pos_id long, fen string, ucis array<string>, sans array<string>"
 
 
-def _played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in PLAYED.split(", ")]
+def _played(batches: Iterator[pd.DataFrame], keep: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PLAYED.split(", ")] + list(keep)
     for b in batches:
         out = []
-        for key, fen, picks in zip(b["pos_id"], b["fen"], b["picks"]):
+        for key, fen, picks, *kept in zip(b["pos_id"], b["fen"], b["picks"], *(b[c] for c in keep)):
             try:
                 p = Position(fen)
             except (ValueError, IndexError):
@@ -155,14 +155,15 @@ def _played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ucis.append(legal[n % len(legal)])
                 sans.append(p.san(ucis[-1]))
                 p = p.push(ucis[-1])
-            out.append((key, fen, ucis, sans))
+            out.append((key, fen, ucis, sans, *kept))
         yield pd.DataFrame(out, columns=names)
 
 
-def play(positions: DataFrame) -> DataFrame:
+def play(positions: DataFrame, *keep: str) -> DataFrame:
     """Games from ``pos_id, fen, picks``: each number picks one of the legal moves, until
-    there is none."""
-    return spread(positions.select("pos_id", "fen", "picks")).mapInPandas(_played, PLAYED)
+    there is none. Columns of texts to ``keep`` stay."""
+    kinds = PLAYED + "".join(f", {c} string" for c in keep)
+    return spread(positions.select("pos_id", "fen", "picks", *keep)).mapInPandas(partial(_played, keep=keep), kinds)
 
 
 OPENING = "eco string, name string, line string, order long, length int, key string"

@@ -160,3 +160,10 @@ def test_checks_of_odd_moves(fen):
     for p in (Position(fen), Position(fen).turned()):
         assert all(p.gives_check(u) == p.push(u).in_check() for u in p.legal_moves())
         assert p.can_move() == bool(p.legal_moves())
+
+
+def test_games_are_not_joined_to_their_results(spark, data):
+    from rookery.plans.boards import played_games
+
+    plan = played_games(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
