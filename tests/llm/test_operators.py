@@ -660,6 +660,38 @@ def test_op10_weights_learn_from_all_training_texts(spark, monkeypatch):
     assert found[-1] == lm_scoring.Units(train, found[0]).size.sum()
 
 
+def test_op10_counts_blocks_and_not_each_decision():
+    # decisions are counted by blocks, equal ones once: their table is that of all decisions
+    r = random.Random(20)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n)) + f" own{n}" for n in (0, 1, 30, 300)]
+    coder, _ = model(texts)
+    raws = [t.encode() for t in texts]
+    u = lm_scoring.Units(raws, coder)
+    _, bit, slots = u.decisions(slice(None))
+    which, path, base = u.blocks(slice(None))
+    assert len(which) == sum(-(-int(n) // 4) for n in u.size) < len(bit) / 2
+    want = np.stack([np.bincount(s << 1 | bit, minlength=2 << coder.bits) for s in slots])
+    got = np.zeros_like(want).reshape(lm_scoring.PIECES, -1)
+    for b in lm_scoring._fill(coder)([pa.RecordBatch.from_arrays([pa.array(raws)], names=["text"])]):
+        for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
+            got[k] = lm_scoring._arrays(blob, "<i4")[0]
+    assert (got.reshape(want.shape) == want).all()
+
+
+def test_op10_scores_do_not_depend_on_neighbours(monkeypatch):
+    # lanes go from one text to the next, whose refinements begin anew
+    r = random.Random(21)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.choice((0, 5, 90, 700)))) for _ in range(60)]
+    coder, mixer = model(texts, 14)
+    raws = [t.encode() for t in texts]
+    alone = np.array([mixer.score(lm_scoring.Units([t], coder))[0] for t in raws])
+    monkeypatch.setattr(lm_scoring, "LANES", 7)
+    parts = [lm_scoring.Units(raws[i : i + 25], coder) for i in (0, 25, 50)]
+    assert np.allclose(mixer.score(lm_scoring.Units.joined(parts)), alone, rtol=1e-5)
+    seen = [(at, size) for _, _, at, size in lm_scoring.turns(lm_scoring.Units(raws, coder).first)]
+    assert all(len(at) <= 7 for at, _ in seen) and sum(int(n.sum()) for _, n in seen) == lm_scoring.Units(raws, coder).count
+
+
 def test_op10_learns_from_notes():
     # of two predictors that say the same by turns, the one that is right is told by all notes
     notes = np.zeros((lm_scoring.GATES, *[len(lm_scoring.RUNGS)] * lm_scoring.PREDICTORS, 2), np.int64)
