@@ -692,6 +692,22 @@ def test_op10_scores_do_not_depend_on_neighbours(monkeypatch):
     assert all(len(at) <= 7 for at, _ in seen) and sum(int(n.sum()) for _, n in seen) == lm_scoring.Units(raws, coder).count
 
 
+@pytest.mark.parametrize("ids", [[0], [2], [0, 2]])
+def test_op10_few_training_texts(spark, ids):
+    # the end is seen once or never, and is not spelled like a rare word
+    ids = [next(i for i in range(99) if (zlib.crc32(str(i).encode()) % 7 == 2) == bool(k)) for k in ids]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in ids}
+    docs = spark.createDataFrame([(i, "one two one") for i in ids], "doc_id long, text string")
+    got = lm_scoring.score(docs).collect()
+    c = Counter(w for i in ids if not held[i] for w in ["one", "two", "one", None])
+    n, v = sum(c.values()), len(c)
+    base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ["one", "two", "one", None])
+    assert sorted(r["doc_id"] for r in got) == sorted(ids)
+    for r in got:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (4, 4 if n else 0, n)
+        assert math.isclose(r["base_score"], base, abs_tol=1e-9) and r["score"] < 0
+
+
 def test_op10_learns_from_notes():
     # of two predictors that say the same by turns, the one that is right is told by all notes
     notes = np.zeros((lm_scoring.GATES, *[len(lm_scoring.RUNGS)] * lm_scoring.PREDICTORS, 2), np.int64)
